@@ -30,8 +30,11 @@ def flags_to_ints(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("int") for name, kind in df.dtypes if kind == "boolean"})
 
 
-def typed_rows(landed: DataFrame, spec: EntitySpec, zones: Lookup, cutoff_hour: int = CUTOFF_HOUR) -> DataFrame:
-    """Landed records of one entity as table rows; extra columns (file position) are kept."""
+def typed_rows(
+    landed: DataFrame, spec: EntitySpec, zones: Lookup | None, cutoff_hour: int = CUTOFF_HOUR,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Landed records of one entity as table rows; file-position columns and ``keep`` are carried along."""
     kinds = dict(landed.dtypes)
     typed = landed.withColumns(
         {c: instant(F.col(c)) for c in INSTANT_FIELDS if kinds.get(c) == "string" and c in spec.columns}
@@ -42,7 +45,7 @@ def typed_rows(landed: DataFrame, spec: EntitySpec, zones: Lookup, cutoff_hour:
     if "ingested_at" in spec.columns:
         typed = typed.withColumn("ingested_at", F.current_timestamp())
     typed = with_defaults(flags_to_ints(typed), spec.defaults)
-    extra = [c for c in typed.columns if c.startswith("_")]
+    extra = [c for c in typed.columns if c.startswith("_") or c in keep]
     return typed.select(*spec.columns, *extra)
 
 
