@@ -62,12 +62,14 @@ def ratio_or_zero(numerator: Column, denominator: Column, scale: int = 1) -> Col
 
 
 def zero_if_null(column: str, kind: str = "bigint") -> Column:
-    return F.coalesce(F.col(column), F.lit(0).cast(kind)).alias(column)
+    return F.expr(f"coalesce({column}, cast(0 as {kind})) as {column}")
 
 
-def count_if(condition: Column) -> Column:
-    return F.sum(flag(condition)).cast("bigint")
+def count_if(condition: str, name: str) -> Column:
+    """Rows that meet a SQL condition; 0 on no rows."""
+    return F.expr(f"count_if({condition}) as {name}")
 
 
-def sum_if(condition: Column, amount: Column) -> Column:
-    return F.sum(F.when(condition, amount).otherwise(F.lit(0).cast("bigint"))).cast("bigint")
+def sum_if(condition: str, amount: str, name: str) -> Column:
+    """Sum of a bigint column over the rows that meet a SQL condition, 0 for the others."""
+    return F.expr(f"sum(case when {condition} then {amount} else 0 end) as {name}")

@@ -2,57 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantile(values: DataFrame, column: str, q: float) -> Column:
-    """The q-quantile with linear interpolation between order statistics, as a scalar column.
+def exact_quantiles(values: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation between order statistics; None on no values.
 
-    A bounded sketch brackets the wanted rank within a few parts in 100,000; everything outside the
-    bracket is only counted, and just the distinct values inside it are ranked. Null on no values.
+    A bounded sketch brackets each wanted rank within a few parts in 100,000. Everything outside the
+    bracket is only counted, and just the distinct values inside it are ranked. Two passes over the
+    values and one over each bracket; only single numbers reach the driver.
     """
-    v = F.col(column)
-    sketch = values.agg(
-        F.count(column).alias("n"),
-        F.percentile_approx(column, F.lit(max(q - MARGIN, 0.0)), ACCURACY).alias("lo"),
-        F.percentile_approx(column, F.lit(min(q + MARGIN, 1.0)), ACCURACY).alias("hi"),
-    )
-    lo, hi = sketch.select("lo").scalar(), sketch.select("hi").scalar()
-    marked = values.where(v.isNotNull()).select(v.alias("v")).withColumns({"__lo": lo, "__hi": hi})
-    outside = marked.agg(
-        F.sum(F.when(F.col("v") < F.col("__lo"), 1).otherwise(0)).alias("below"),
-        F.max(F.when(F.col("v") < F.col("__lo"), F.col("v"))).alias("prev"),
-        F.min(F.when(F.col("v") > F.col("__hi"), F.col("v"))).alias("next"),
-    )
-    inside = (
-        marked.where(F.col("v").between(F.col("__lo"), F.col("__hi")))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("__upto", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__below", outside.select("below").scalar())
-        .withColumn("rank", F.col("__upto") + F.col("__below"))
-    )
-    position = F.lit(q) * (F.col("__n") - 1)
-    slot = F.floor(position)
-
-    def at(rank: Column) -> Column:
-        """Value of a 1-based rank: inside the bracket, or its neighbour just outside."""
-        found = F.min(F.when(F.col("rank") >= rank, F.col("v")))
-        return F.when(rank <= F.min("__below"), F.min("__prev")).otherwise(F.coalesce(found, F.min("__next")))
-
-    ranked = inside.withColumns(
-        {
-            "__n": sketch.select("n").scalar(),
-            "__prev": outside.select("prev").scalar(),
-            "__next": outside.select("next").scalar(),
-        }
-    ).withColumns({"slot": slot, "part": position - slot})
-    ends = ranked.groupBy("slot", "part").agg(
-        at(F.col("slot") + 1).alias("a"), at(F.col("slot") + 2).alias("b")
-    )
-    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("part")
-    return ends.select(value.alias("q")).scalar()
+    rows = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    edges = [min(max(q + side, 0.0), 1.0) for q in qs for side in (-MARGIN, MARGIN)]
+    sketch = rows.agg(
+        F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), ACCURACY).alias("e")
+    ).first()
+    if not sketch["n"]:
+        return [None for _ in qs]
+    brackets = [(sketch["e"][2 * i], sketch["e"][2 * i + 1]) for i in range(len(qs))]
+    outside = rows.agg(*[
+        column
+        for i, (low, high) in enumerate(brackets)
+        for column in (
+            F.count(F.when(F.col("v") < low, 1)).alias(f"below{i}"),
+            F.max(F.when(F.col("v") < low, F.col("v"))).alias(f"prev{i}"),
+            F.min(F.when(F.col("v") > high, F.col("v"))).alias(f"next{i}"),
+        )
+    ]).first()
+    out = []
+    for i, (q, (low, high)) in enumerate(zip(qs, brackets)):
+        below, before, after = outside[f"below{i}"], outside[f"prev{i}"], outside[f"next{i}"]
+        position = q * (sketch["n"] - 1)
+        slot = math.floor(position)
+        ranked = (
+            rows.where(F.col("v").between(low, high))
+            .groupBy("v")
+            .agg(F.count(F.lit(1)).alias("k"))
+            .withColumn("upto", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        )
+        ranks = (slot + 1, slot + 2)
+        found = ranked.agg(*[F.min(F.when(F.col("upto") + below >= r, F.col("v"))) for r in ranks]).first()
+        # A rank just outside the bracket is the neighbour on that side.
+        a, b = (before if r <= below else (v if v is not None else after) for r, v in zip(ranks, found))
+        out.append(a if b is None else a + (b - a) * (position - slot))
+    return out

@@ -20,7 +20,8 @@ def location_zones(locations: DataFrame, default_zone: str = DEFAULT_ZONE) -> Lo
     """
     known = sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"})
     named = F.coalesce(F.nullif(F.col("timezone"), F.lit("")), F.lit(default_zone))
-    zones = locations.select("location_id", F.when(named.isin(known), named).otherwise("UTC").alias("tz"))
+    is_known = F.find_in_set(named, F.lit(",".join(known))) > 0
+    zones = locations.select("location_id", F.when(is_known, named).otherwise("UTC").alias("tz"))
     return Lookup(zones, ["location_id"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ class LeakageError(RuntimeError):
 
 
 def feature_source(
-    tables: dict[str, DataFrame], summary: DataFrame, horizon_days: int = 14
+    tables: Mapping[str, DataFrame], summary: DataFrame, horizon_days: int = 14
 ) -> DataFrame:
     """Calendar x trading locations from the first summary date to ``horizon_days`` past the last, with
     the day's summary and context. Rows without a summary are the future."""
@@ -224,7 +225,7 @@ def assert_no_leakage(columns: list[str]) -> None:
         raise LeakageError(f"outcomes of the same day among the inputs: {', '.join(leaked)}")
 
 
-def engineered(tables: dict[str, DataFrame], summary: DataFrame, horizon_days: int = 14) -> DataFrame:
+def engineered(tables: Mapping[str, DataFrame], summary: DataFrame, horizon_days: int = 14) -> DataFrame:
     """Every feature column, before incomplete rows are dropped."""
     source = feature_source(tables, summary, horizon_days)
     bounds = summary.agg(F.min("business_date").alias("first"), F.max("business_date").alias("last"))

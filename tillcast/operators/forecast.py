@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions.columns import dollars, flag
-from tillcast.functions.quantiles import exact_quantile
+from tillcast.functions.quantiles import exact_quantiles
 from tillcast.operators.features import TARGET
 
 # Baseline name -> feature; context shown beside a forecast; quantiles of the band.
@@ -85,15 +85,15 @@ def residual_band(
     low: float = LOW_QUANTILE, high: float = HIGH_QUANTILE,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) and population deviation of actual - predicted on the
-    validation split.
+    validation split, one row. The two quantiles are computed when this is called.
     """
     residuals = df.where(F.col("split") == "val").select(
         (F.col(actual_col) - F.col(predicted_col)).cast("double").alias("r")
     )
-    spread = residuals.agg(F.stddev_pop("r").alias("std"), F.count("r").alias("n"))
-    return spread.withColumns(
-        {"low": exact_quantile(residuals, "r", low), "high": exact_quantile(residuals, "r", high)}
-    ).select("low", "high", "std", "n")
+    ends = exact_quantiles(residuals, "r", [low, high])
+    return residuals.agg(F.stddev_pop("r").alias("std"), F.count("r").alias("n")).select(
+        F.lit(ends[0]).cast("double").alias("low"), F.lit(ends[1]).cast("double").alias("high"), "std", "n"
+    )
 
 
 def _band_value(band: DataFrame, name: str) -> Column:

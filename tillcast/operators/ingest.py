@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date, datetime, time, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -103,7 +104,7 @@ def upsert_latest(existing: DataFrame, batch: DataFrame, keys: list[str], versio
     return kept.unionByName(newest)
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, row_count), one row per table."""
     parts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
@@ -123,7 +124,7 @@ def sales_span(daily_sales: DataFrame) -> DataFrame:
     )
 
 
-def retention_trim(tables: dict[str, DataFrame], cutoff: date | str) -> dict[str, DataFrame]:
+def retention_trim(tables: Mapping[str, DataFrame], cutoff: date | str) -> dict[str, DataFrame]:
     """Drop facts dated before the cutoff; undated rows stay. A modifier goes with its order, so an
     order_id is compared with the dropped orders, once per id."""
     limit = F.lit(str(cutoff)).cast("date")
@@ -177,15 +178,15 @@ def incremental_window(
 def account_preview(orders: DataFrame, minimum_days: int = MIN_TRADING_DAYS) -> DataFrame:
     """One row that says whether there is enough history. Days here are UTC dates of closing time, or
     of creation when an order was never closed."""
-    canceled = F.coalesce(F.col("state") == "CANCELED", F.lit(False))
-    sale_day = F.when(~canceled, F.to_date(F.coalesce("closed_at", "created_at")))
+    canceled = "coalesce(state = 'CANCELED', false)"
+    sale_day = F.expr(f"case when not {canceled} then to_date(coalesce(closed_at, created_at)) end")
     totals = orders.agg(
         F.count(F.lit(1)).alias("orders"),
-        F.coalesce(count_if(canceled), F.lit(0).cast("bigint")).alias("cancelled_orders"),
+        count_if(canceled, "cancelled_orders"),
         F.countDistinct(sale_day).alias("trading_days"),
         F.min(sale_day).alias("first_sale"),
         F.max(sale_day).alias("last_sale"),
-        F.coalesce(F.sum(F.when(~canceled, F.col("net_sales_cents"))), F.lit(0).cast("bigint")).alias("cents"),
+        F.expr(f"coalesce(sum(case when not {canceled} then net_sales_cents end), 0) as cents"),
     )
     days = F.col("trading_days")
     need = F.lit(minimum_days).cast("bigint")

@@ -307,7 +307,8 @@ def daily_weather(payloads: DataFrame) -> DataFrame:
     names = ["date", *WEATHER_SERIES]
     zipped = F.arrays_zip(
         F.col("daily.time").alias("date"),
-        *[F.col(f"daily.{series}").alias(name) for name, series in WEATHER_SERIES.items()],
+        # A series that is absent altogether zips as an empty one.
+        *[F.expr(f"coalesce(daily.{series}, array())").alias(name) for name, series in WEATHER_SERIES.items()],
     )
     days = payloads.select("latitude", "longitude", "source", F.inline(zipped)).toDF(
         "latitude", "longitude", "source", *names

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.functions.columns import count_if, mean_cents, sum_if
+from tillcast.functions.columns import count_if, sum_if
 from tillcast.functions.joins import Lookup
 
 DAY = ["business_date", "location_id"]
@@ -18,21 +18,15 @@ def is_sale() -> Column:
 
 def order_sums() -> list[Column]:
     """The additive measures of a set of orders."""
-    kind = F.col("fulfillment_type")
+    sums = ("revenue_cents", "net_sales_cents", "discount_cents", "tax_cents", "tip_cents", "service_charge_cents")
     return [
-        F.count(F.lit(1)).alias("order_count"),
-        *[
-            F.sum(c).alias(c)
-            for c in (
-                "revenue_cents", "net_sales_cents", "discount_cents", "tax_cents", "tip_cents",
-                "service_charge_cents",
-            )
-        ],
-        F.sum("item_quantity").alias("item_count"),
-        mean_cents(F.sum("revenue_cents"), F.count("revenue_cents")).alias("avg_ticket_cents"),
-        count_if(kind == "PICKUP").alias("pickup_orders"),
-        count_if(kind == "DELIVERY").alias("delivery_orders"),
-        count_if(kind.isNull()).alias("dine_in_orders"),
+        F.expr("count(*) as order_count"),
+        *[F.expr(f"sum({c}) as {c}") for c in sums],
+        F.expr("sum(item_quantity) as item_count"),
+        F.expr("cast(avg(revenue_cents) as bigint) as avg_ticket_cents"),
+        count_if("fulfillment_type = 'PICKUP'", "pickup_orders"),
+        count_if("fulfillment_type = 'DELIVERY'", "delivery_orders"),
+        count_if("fulfillment_type is null", "dine_in_orders"),
     ]
 
 
@@ -90,13 +84,12 @@ BRAND_COLUMNS = {"visa_cents": "VISA", "mastercard_cents": "MASTERCARD", "amex_c
 
 
 def daily_payments(payments: DataFrame) -> DataFrame:
-    amount = F.col("amount_cents")
     return (
         payments.where((F.col("status") == "COMPLETED") & F.col("business_date").isNotNull())
         .groupBy(*DAY)
         .agg(
-            *[sum_if(F.col("source_type") == v, amount).alias(c) for c, v in SOURCE_COLUMNS.items()],
-            *[sum_if(F.col("card_brand") == v, amount).alias(c) for c, v in BRAND_COLUMNS.items()],
+            *[sum_if(f"source_type = '{v}'", "amount_cents", c) for c, v in SOURCE_COLUMNS.items()],
+            *[sum_if(f"card_brand = '{v}'", "amount_cents", c) for c, v in BRAND_COLUMNS.items()],
             F.sum("processing_fee_cents").alias("processing_fee_cents"),
         )
     )
@@ -116,7 +109,7 @@ def daily_events(events: DataFrame) -> DataFrame:
         F.sum(F.coalesce("expected_attendance", F.lit(0).cast("bigint"))).alias("event_attendance"),
         F.min("distance_miles").alias("nearest_event_miles"),
         *[
-            count_if(F.col("category") == kind).alias(f"{kind}_events")
+            count_if(f"category = '{kind}'", f"{kind}_events")
             for kind in ("sports", "concert", "festival")
         ],
     )
@@ -132,13 +125,12 @@ CHANNEL_FLAGS = {
 
 
 def daily_promotions(promotions: DataFrame) -> DataFrame:
-    percent = F.when(F.col("discount_type") == "percent", F.col("discount_value")).otherwise(F.lit(0.0))
     return promotions.groupBy("date").agg(
         F.count(F.lit(1)).alias("promotion_count"),
         F.sum(F.coalesce("spend_usd", F.lit(0.0))).alias("promotion_spend_usd"),
-        F.max(percent).alias("max_percent_off"),
+        F.expr("max(case when discount_type = 'percent' then discount_value else 0.0D end) as max_percent_off"),
         *[
-            F.max(F.when(F.col("channel") == channel, 1).otherwise(0)).alias(name)
+            F.expr(f"max(case when channel = '{channel}' then 1 else 0 end) as {name}")
             for name, channel in CHANNEL_FLAGS.items()
         ],
     )

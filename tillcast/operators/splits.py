@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +176,7 @@ def feature_payload(rows: DataFrame) -> DataFrame:
 
 
 def feature_table(
-    tables: dict[str, DataFrame], summary: DataFrame, val_days: int = 0, test_days: int = 0,
+    tables: Mapping[str, DataFrame], summary: DataFrame, val_days: int = 0, test_days: int = 0,
     horizon_days: int = 14,
 ) -> DataFrame:
     """Complete feature rows with their split, unscaled.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -39,11 +40,6 @@ def _from(since: date | str | None) -> Column:
     return F.lit(True) if since is None else F.col("business_date") >= F.lit(str(since)).cast("date")
 
 
-def _hours(span: tuple[int, int]) -> Column:
-    hour = F.col("business_hour")
-    return (hour >= span[0]) & (hour < span[1])
-
-
 def daily_spine(
     calendar: DataFrame, locations: DataFrame, orders: DataFrame, since: date | str | None = None
 ) -> DataFrame:
@@ -91,15 +87,15 @@ def new_vs_returning(
 
 
 def _daypart_sums() -> list[Column]:
-    hour = F.col("business_hour")
+    hour = "business_hour"
     parts = {
-        "lunch": _hours(LUNCH),
-        "dinner": _hours(DINNER),
-        "late": (hour >= DINNER[1]) | (hour < LUNCH[0]),
+        "lunch": f"{hour} >= {LUNCH[0]} and {hour} < {LUNCH[1]}",
+        "dinner": f"{hour} >= {DINNER[0]} and {hour} < {DINNER[1]}",
+        "late": f"{hour} >= {DINNER[1]} or {hour} < {LUNCH[0]}",
     }
     return [
-        *[count_if(inside).alias(f"{name}_orders") for name, inside in parts.items()],
-        *[sum_if(inside, F.col("net_sales_cents")).alias(f"{name}_sales_cents") for name, inside in parts.items()],
+        *[count_if(inside, f"{name}_orders") for name, inside in parts.items()],
+        *[sum_if(inside, "net_sales_cents", f"{name}_sales_cents") for name, inside in parts.items()],
     ]
 
 
@@ -110,7 +106,7 @@ def dayparts(orders: DataFrame, since: date | str | None = None) -> DataFrame:
 def _hour_counts() -> Column:
     """Order counts of the 24 local hours, as an array; the busiest is read from it without another
     grouping."""
-    return F.array(*[count_if(F.col("business_hour") == h) for h in range(24)])
+    return F.expr(f"array({', '.join(f'count_if(business_hour = {h})' for h in range(24))})")
 
 
 def _busiest(counts: Column) -> Column:
@@ -163,7 +159,7 @@ def with_ratios(summary: DataFrame) -> DataFrame:
 
 
 def daily_summary(
-    tables: dict[str, DataFrame], since: date | str | None = None, first_seen: DataFrame | None = None
+    tables: Mapping[str, DataFrame], since: date | str | None = None, first_seen: DataFrame | None = None
 ) -> DataFrame:
     """Spine left-joined with every rollup.
 

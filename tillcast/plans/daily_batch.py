@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -16,7 +17,7 @@ from tillcast.operators.validate import raise_if_blocked, validation_report
 from tillcast.schemas import BY_ENTITY, ENTITIES, INSTANT_FIELDS, EntitySpec, field_names
 from tillcast.session import pin_utc
 from tillcast.sources.landing import raw_lines
-from tillcast.sources.tables import DAY_KEY, read_days, read_dimension, read_if_present
+from tillcast.sources.tables import PART_KEY, Layout, read_parts, read_dimension, read_if_present
 from tillcast.streaming.incremental import merge_landed
 
 LEDGER = "ingested_files"
@@ -64,7 +65,7 @@ def empty_table(spark: SparkSession, spec: EntitySpec) -> DataFrame:
 
 def read_child(spark: SparkSession, out_dir: str, spec: EntitySpec) -> DataFrame | None:
     path, child = f"{out_dir}/{spec.child.table}", spec.child
-    stored = read_days(spark, path, list(child.keys)) if spec.is_fact else read_dimension(spark, path)
+    stored = read_parts(spark, path, list(child.keys)) if spec.is_fact else read_dimension(spark, path)
     return None if stored is None else stored.select(*child.columns)
 
 
@@ -73,8 +74,8 @@ def load_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     for spec in ENTITIES:
         path = f"{out_dir}/{spec.table}"
         if spec.is_fact:
-            stored = read_days(spark, path, list(spec.keys))
-            tables[spec.table] = empty_table(spark, spec) if stored is None else stored.drop(DAY_KEY)
+            stored = read_parts(spark, path, list(spec.keys))
+            tables[spec.table] = empty_table(spark, spec) if stored is None else stored.drop(PART_KEY)
         else:
             stored = read_dimension(spark, path)
             tables[spec.table] = empty_table(spark, spec) if stored is None else stored
@@ -91,7 +92,7 @@ def load_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
 
 def load_all(
     spark: SparkSession, raw_dir: str, out_dir: str, only: list[str] | None = None, force: bool = False,
-    cutoff_hour: int = CUTOFF_HOUR,
+    cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(),
 ) -> dict[str, int]:
     """Load every entity, locations first, and return the lines read per entity.
 
@@ -116,7 +117,7 @@ def load_all(
         )
         # At most one row per landed file.
         files = entries.collect()
-        merge_landed(spark, lines, out_dir, spec, zones, cutoff_hour)
+        merge_landed(spark, lines, out_dir, spec, zones, cutoff_hour, layout)
         spark.createDataFrame(files, entries.schema).write.mode("append").parquet(f"{out_dir}/{LEDGER}")
         done[spec.entity] = sum(row["rows"] for row in files)
     return done
@@ -134,7 +135,7 @@ def write_summary(summary: DataFrame, path: str) -> None:
     )
 
 
-def build_summary(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, since: date | None = None) -> DataFrame:
+def build_summary(spark: SparkSession, tables: Mapping[str, DataFrame], out_dir: str, since: date | None = None) -> DataFrame:
     """Rebuild the summary from ``since`` on, by whole months, and return the stored table."""
     path = f"{out_dir}/daily_summary"
     start = since.replace(day=1) if since else None
@@ -143,7 +144,7 @@ def build_summary(spark: SparkSession, tables: dict[str, DataFrame], out_dir: st
 
 
 def build_features(
-    spark: SparkSession, tables: dict[str, DataFrame], summary: DataFrame, out_dir: str,
+    spark: SparkSession, tables: Mapping[str, DataFrame], summary: DataFrame, out_dir: str,
     val_days: int = 0, test_days: int = 0, horizon_days: int = 14,
 ) -> dict[str, DataFrame]:
     """Write the scaled dataset by split, the unscaled table, the scaler and the manifest."""
@@ -174,10 +175,11 @@ def load_dataset(spark: SparkSession, out_dir: str, split: str | None = None) ->
 
 
 def run_daily(
-    spark: SparkSession, raw_dir: str, out_dir: str, as_of: date, strict: bool = False
+    spark: SparkSession, raw_dir: str, out_dir: str, as_of: date, strict: bool = False,
+    layout: Layout = Layout(),
 ) -> dict[str, DataFrame]:
     """Load, summarise, check, and build features. Raises when the gate is closed."""
-    load_all(spark, raw_dir, out_dir)
+    load_all(spark, raw_dir, out_dir, layout=layout)
     tables = load_tables(spark, out_dir)
     report = validation_report(tables, as_of, ledger(spark, out_dir), strict)
     raise_if_blocked(report)

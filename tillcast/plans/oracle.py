@@ -40,7 +40,7 @@ _SCALE_FIT = ", ".join(
     f"avg({c}) m_{c}, case when stddev_samp({c}) > 1e-9 then stddev_samp({c}) else 1 end s_{c}" for c in _SCALED
 )
 _SCALED_COLUMNS = ", ".join(
-    f"round(({c} - m_{c}) / s_{c}, 4) {c}" if c in _SCALED else c for c in INPUTS
+    f"round(({c} - m_{c}) / s_{c}, 4) as {c}" if c in _SCALED else c for c in INPUTS
 )
 
 _LINES = """(select k, i, cast(k as varchar) order_id, location_id, created_at,

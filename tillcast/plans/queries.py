@@ -28,17 +28,19 @@ from tillcast.schemas import (
     WEATHER_PAYLOAD,
     EntitySpec,
 )
-from tillcast.session import work_dir
+from tillcast.session import materialize, work_dir
 from tillcast.sources import payloads
 from tillcast.sources.landing import land, parse_lines
 from tillcast.sources.sample import AS_OF, SampleShop
-from tillcast.sources.tables import DAY_KEY, read_days
+from tillcast.sources.tables import PART_KEY, Layout, read_parts
 from tillcast.streaming.incremental import current_daily_sales, ingest_orders, run_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ROLLING_7 = "sales_roll_mean_7"
 CUTOFF = "1998-01-01"
+# The sample spreads few rows over seven years, so its tables are partitioned by year.
+YEARS = Layout("yyyy")
 
 
 def query(fn: Callable[[SampleShop], DataFrame]) -> Callable[[SampleShop], DataFrame]:
@@ -234,7 +236,7 @@ def ingest_ledger(shop):
     land(orders.where(early), f"{root}/raw", "orders", "run1", "updated_at")
     land(orders.where(~early), f"{root}/raw", "orders", "run2", "updated_at")
     for _ in range(2):
-        load_all(spark, f"{root}/raw", f"{root}/tables", only=["orders"])
+        load_all(spark, f"{root}/raw", f"{root}/tables", only=["orders"], layout=YEARS)
     run = F.regexp_extract("path", "^(orders-run[0-9]+)", 1)
     return ledger(spark, f"{root}/tables").groupBy("entity", run.alias("run")).agg(F.sum("rows").alias("rows"))
 
@@ -457,7 +459,8 @@ def outlier_days(shop):
 
 
 def _summary(shop: SampleShop) -> DataFrame:
-    return summaries.daily_summary(shop.tables)
+    """The summary as a stored table: feature building reads it several times."""
+    return materialize(summaries.daily_summary(shop.tables), "summary")
 
 
 def _rows(shop: SampleShop) -> DataFrame:
@@ -467,7 +470,8 @@ def _rows(shop: SampleShop) -> DataFrame:
 def _scaled(shop: SampleShop) -> tuple[DataFrame, DataFrame, list[str]]:
     rows = _rows(shop)
     columns = features.feature_columns(rows.columns)
-    return rows, splits.apply_scaler(rows, splits.fit_scaler(rows, columns), columns), columns
+    scaled = splits.apply_scaler(rows, splits.fit_scaler(rows, columns), columns)
+    return rows, materialize(scaled, "dataset"), columns
 
 
 @query
@@ -685,16 +689,16 @@ def _stream_orders(shop: SampleShop) -> tuple[str, EntitySpec]:
         }
     )
     land(early, f"{root}/raw", "orders", "run1")
-    ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones)
+    ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones, layout=YEARS)
     land(orders, f"{root}/raw", "orders", "run2")
-    ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones)
+    ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones, layout=YEARS)
     return f"{root}/tables", spec
 
 
 @query
 def stream_ingest(shop):
     tables, spec = _stream_orders(shop)
-    stored = read_days(shop.spark, f"{tables}/orders", list(spec.keys)).drop(DAY_KEY)
+    stored = read_parts(shop.spark, f"{tables}/orders", list(spec.keys)).drop(PART_KEY)
     return stored.select("order_id", "location_id", "business_date", "business_hour", "state", "revenue_cents",
                          "net_sales_cents", "customer_id", "item_quantity")
 
@@ -706,8 +710,8 @@ def stream_upsert(shop):
     for name, run in zip(("run1", "run2"), _line_runs(shop)):
         rows = run.withColumn("created_at", payloads.stamp("created_at"))
         land(rows.drop(*[f"v_{c}" for c in shop.LINE_VERSION]), f"{root}/raw", "order_items", name)
-        run_ingest(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones)
-    stored = read_days(shop.spark, f"{root}/tables/order_items", list(spec.keys))
+        run_ingest(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones, layout=YEARS)
+    stored = read_parts(shop.spark, f"{root}/tables/order_items", list(spec.keys))
     return stored.select("order_id", "line_item_uid", "item_name", "quantity", "total_cents")
 
 

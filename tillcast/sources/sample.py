@@ -7,6 +7,7 @@ from keys so that every rule of the operators has rows to act on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,28 @@ AS_OF = "2001-08-01"
 HORIZON_DAYS = 14
 SHIFT_OFFSET_DAYS = 9131  # puts the event log into January 1999
 
+TABLES = (
+    "locations", "calendar_days", "weather", "events", "promotions", "catalog_items", "catalog_variations",
+    "orders", "order_items", "order_item_modifiers", "payments", "refunds", "shifts",
+)
 
-def _text(c: str) -> Column:
-    return F.col(c).cast("string")
 
+class _Tables(Mapping):
+    """The domain tables by name, each built when it is asked for."""
 
-def _cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
+    def __init__(self, shop: SampleShop):
+        self._shop = shop
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        return getattr(self._shop, name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
 
 
 class SampleShop:
@@ -38,23 +54,25 @@ class SampleShop:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = pin_utc(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
-        stamps = {n: F.col(n).cast("timestamp") for n, k in df.dtypes if k == "timestamp_ntz"}
-        return df.withColumns(stamps) if stamps else df
+        if table not in self._raw:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            stamps = {n: F.col(n).cast("timestamp") for n, k in df.dtypes if k == "timestamp_ntz"}
+            self._raw[table] = df.withColumns(stamps) if stamps else df
+        return self._raw[table]
 
     # -- dimensions
 
     @cached_property
     def locations(self) -> DataFrame:
-        key = F.col("r_regionkey")
-        return self.raw("region").select(
-            _text("r_regionkey").alias("location_id"),
-            F.col("r_name").alias("name"),
-            F.when(key == 3, "INACTIVE").when(key != 4, "ACTIVE").alias("status"),
-            F.when(key == 1, "America/New_York").when(key == 2, "Asia/Tokyo").when(key == 3, "Europe/Paris")
-            .when(key == 4, "Mars/Base").alias("timezone"),
+        return self.raw("region").selectExpr(
+            "cast(r_regionkey as string) as location_id",
+            "r_name as name",
+            "case r_regionkey when 3 then 'INACTIVE' when 4 then null else 'ACTIVE' end as status",
+            "case r_regionkey when 1 then 'America/New_York' when 2 then 'Asia/Tokyo' when 3 then 'Europe/Paris' "
+            "when 4 then 'Mars/Base' end as timezone",
         )
 
     @cached_property
@@ -65,34 +83,31 @@ class SampleShop:
     def span(self) -> DataFrame:
         """First and last calendar date: the order dates, one day earlier and the horizon later."""
         return self.raw("orders").agg(
-            F.date_sub(F.to_date(F.min("o_orderdate")), 1).alias("first"),
-            F.date_add(F.to_date(F.max("o_orderdate")), HORIZON_DAYS).alias("last"),
+            F.expr("date_sub(to_date(min(o_orderdate)), 1)").alias("first"),
+            F.expr(f"date_add(to_date(max(o_orderdate)), {HORIZON_DAYS})").alias("last"),
         )
 
     @cached_property
     def holidays(self) -> DataFrame:
-        d = F.col("date")
-        thursday = (F.month(d) == 11) & (F.weekday(d) == 3) & F.dayofmonth(d).between(22, 28)
-        name = (
-            F.when((F.month(d) == 1) & (F.dayofmonth(d) == 1), "New Years Day")
-            .when((F.month(d) == 7) & (F.dayofmonth(d) == 4), "Independence Day")
-            .when(thursday, "Thanksgiving")
-            .when((F.month(d) == 12) & (F.dayofmonth(d) == 25), "Christmas Day")
+        """Fixed dates and the fourth Thursday of November, one day beyond the calendar on either side so
+        that the eve of and the day after a holiday out of range are known."""
+        days = self.span.selectExpr(
+            "explode(sequence(date_sub(first, 1), date_add(last, 1), interval 1 day)) as date"
         )
-        # One day more on either side, for the eve of and the day after a holiday out of range.
-        days = self.span.select(
-            F.explode(F.sequence(F.date_sub("first", 1), F.date_add("last", 1), F.expr("interval 1 day"))).alias("date")
-        )
-        return days.select("date", name.alias("name")).where(F.col("name").isNotNull())
+        return days.selectExpr(
+            "date",
+            "case when month(date) = 1 and day(date) = 1 then 'New Years Day' "
+            "when month(date) = 7 and day(date) = 4 then 'Independence Day' "
+            "when month(date) = 11 and weekday(date) = 3 and day(date) between 22 and 28 then 'Thanksgiving' "
+            "when month(date) = 12 and day(date) = 25 then 'Christmas Day' end as name",
+        ).where("name is not null")
 
     @cached_property
     def school_terms(self) -> DataFrame:
-        start = F.date_add(F.lit("1995-01-10").cast("date"), F.col("n_nationkey") * 97)
-        return self.raw("nation").select(
-            F.col("n_name").alias("label"),
-            start.alias("start_date"),
-            F.date_add(start, 110).alias("end_date"),
-            F.col("n_nationkey").alias("ordinal"),
+        start = "date_add(date'1995-01-10', n_nationkey * 97)"
+        return self.raw("nation").selectExpr(
+            "n_name as label", f"{start} as start_date", f"date_add({start}, 110) as end_date",
+            "n_nationkey as ordinal",
         )
 
     @cached_property
@@ -102,57 +117,55 @@ class SampleShop:
     @cached_property
     def weather(self) -> DataFrame:
         """Daily weather with an outage on the 29th of every month."""
-        day = F.unix_date("date")
-        rows = self.calendar_days.where(F.dayofmonth("date") != 29).select(
+        days = self.span.selectExpr("explode(sequence(first, last, interval 1 day)) as date")
+        rows = days.where("day(date) <> 29").selectExpr("date", "unix_date(date) as ep").selectExpr(
             "date",
-            F.when(day % 40 == 0, "forecast").otherwise("archive").alias("source"),
-            F.when(day % 53 != 0, 60.0 + (day % 15)).alias("temp_max_f"),
-            (40.0 + (day % 11)).alias("temp_min_f"),
-            (50.0 + (day % 13)).alias("temp_mean_f"),
-            (61.0 + (day % 15)).alias("feels_like_max_f"),
-            F.when(day % 5 == 0, 0.5).otherwise(0.0).alias("precipitation_in"),
-            F.when(day % 31 == 0, 1.5).otherwise(0.0).alias("snowfall_in"),
-            F.when(day % 5 == 0, 3.0).otherwise(0.0).alias("precipitation_hours"),
-            (5.0 + (day % 9)).alias("wind_max_mph"),
-            (45.0 + (day % 40)).alias("humidity_mean"),
-            F.when(day % 17 != 0, ((day * 7) % 100).cast("int")).alias("weather_code"),
+            "case when ep % 40 = 0 then 'forecast' else 'archive' end as source",
+            "case when ep % 53 <> 0 then 60.0D + ep % 15 end as temp_max_f",
+            "40.0D + ep % 11 as temp_min_f",
+            "50.0D + ep % 13 as temp_mean_f",
+            "61.0D + ep % 15 as feels_like_max_f",
+            "case when ep % 5 = 0 then 0.5D else 0.0D end as precipitation_in",
+            "case when ep % 31 = 0 then 1.5D else 0.0D end as snowfall_in",
+            "case when ep % 5 = 0 then 3.0D else 0.0D end as precipitation_hours",
+            "5.0D + ep % 9 as wind_max_mph",
+            "45.0D + ep % 40 as humidity_mean",
+            "case when ep % 17 <> 0 then cast((ep * 7) % 100 as int) end as weather_code",
         )
         return weather_flags(rows)
 
     @cached_property
     def event_list(self) -> DataFrame:
         """Local happenings from the part list: one-day, multi-day, open-ended, reversed and undated."""
-        size = F.col("p_size")
-        start = F.date_add(F.lit("1994-12-20").cast("date"), ((F.col("p_partkey") * 13) % 2500).cast("int"))
-        return self.raw("part").select(
-            F.concat("p_name", F.lit(" "), _text("p_partkey")).alias("name"),
-            F.when(F.col("p_type") == "ECONOMY", "sports").when(F.col("p_type") == "PROMO", "concert")
-            .when(F.col("p_type") == "LARGE", "festival").otherwise("civic").alias("category"),
-            F.col("p_brand").alias("venue"),
-            F.when(size != 50, start).alias("start_date"),
-            F.when(size % 11 == 0, F.date_sub(start, 1)).when(size % 7 != 0, F.date_add(start, size % 5))
-            .alias("end_date"),
-            F.when(size % 3 == 0, "19:00").alias("start_time"),
-            (F.col("p_partkey") % 200 / 10.0).alias("distance_miles"),
-            F.when(size % 9 != 0, size.cast("bigint") * 100).alias("expected_attendance"),
-            F.lit(None).cast("string").alias("notes"),
+        start = "date_add(date'1994-12-20', cast((p_partkey * 13) % 2500 as int))"
+        return self.raw("part").selectExpr(
+            "concat(p_name, ' ', cast(p_partkey as string)) as name",
+            "case p_type when 'ECONOMY' then 'sports' when 'PROMO' then 'concert' when 'LARGE' then 'festival' "
+            "else 'civic' end as category",
+            "p_brand as venue",
+            f"case when p_size <> 50 then {start} end as start_date",
+            f"case when p_size % 11 = 0 then date_sub({start}, 1) "
+            f"when p_size % 7 <> 0 then date_add({start}, p_size % 5) end as end_date",
+            "case when p_size % 3 = 0 then '19:00' end as start_time",
+            "(p_partkey % 200) / 10.0D as distance_miles",
+            "case when p_size % 9 <> 0 then cast(p_size as bigint) * 100 end as expected_attendance",
+            "cast(null as string) as notes",
         )
 
     @cached_property
     def promotion_list(self) -> DataFrame:
-        nation, key = F.col("s_nationkey"), F.col("s_suppkey")
-        start = F.date_add(F.lit("1995-01-01").cast("date"), ((key * 37) % 2400).cast("int"))
-        return self.raw("supplier").select(
-            F.col("s_name").alias("name"),
-            F.when(nation % 4 == 0, "facebook_ads").when(nation % 4 == 1, "ubereats")
-            .when(nation % 4 == 2, "email").otherwise("in_store").alias("channel"),
-            F.when(key % 3 == 0, "percent").when(key % 3 == 1, "amount").otherwise("none").alias("discount_type"),
-            ((nation % 6) * 5.0).alias("discount_value"),
-            start.alias("start_date"),
-            F.when(nation % 8 != 0, F.date_add(start, nation % 10)).alias("end_date"),
-            F.floor(F.abs("s_acctbal")).cast("double").alias("spend_usd"),
-            F.lit("all").alias("applies_to"),
-            F.lit(None).cast("string").alias("notes"),
+        start = "date_add(date'1995-01-01', cast((s_suppkey * 37) % 2400 as int))"
+        return self.raw("supplier").selectExpr(
+            "s_name as name",
+            "case s_nationkey % 4 when 0 then 'facebook_ads' when 1 then 'ubereats' when 2 then 'email' "
+            "else 'in_store' end as channel",
+            "case s_suppkey % 3 when 0 then 'percent' when 1 then 'amount' else 'none' end as discount_type",
+            "(s_nationkey % 6) * 5.0D as discount_value",
+            f"{start} as start_date",
+            f"case when s_nationkey % 8 <> 0 then date_add({start}, s_nationkey % 10) end as end_date",
+            "cast(floor(abs(s_acctbal)) as double) as spend_usd",
+            "'all' as applies_to",
+            "cast(null as string) as notes",
         )
 
     def _range(self) -> tuple[Column, Column]:
@@ -169,92 +182,59 @@ class SampleShop:
     @cached_property
     def catalog_items(self) -> DataFrame:
         """An item per part; some items have no category."""
-        return self.raw("part").select(
-            F.concat(F.lit("ITEM"), _text("p_partkey")).alias("catalog_object_id"),
-            F.col("p_name").alias("item_name"),
-            F.when(F.col("p_size") % 23 != 0, F.col("p_type")).alias("category_name"),
+        return self.raw("part").selectExpr(
+            "concat('ITEM', cast(p_partkey as string)) as catalog_object_id",
+            "p_name as item_name",
+            "case when p_size % 23 <> 0 then p_type end as category_name",
         )
 
     @cached_property
     def catalog_variations(self) -> DataFrame:
-        return self.raw("part").select(
-            F.concat(F.lit("VAR"), _text("p_partkey")).alias("variation_id"),
-            F.concat(F.lit("ITEM"), _text("p_partkey")).alias("catalog_object_id"),
-            F.col("p_brand").alias("name"),
-            _cents("p_retailprice").alias("price_cents"),
+        return self.raw("part").selectExpr(
+            "concat('VAR', cast(p_partkey as string)) as variation_id",
+            "concat('ITEM', cast(p_partkey as string)) as catalog_object_id",
+            "p_brand as name",
+            "cast(round(p_retailprice * 100) as bigint) as price_cents",
         )
 
     # -- facts
 
-    @staticmethod
-    def _created(key: str, day: str) -> Column:
-        return F.timestamp_add("MINUTE", ((F.col(key) * 37) % 1440).cast("int"), F.col(day))
-
     @cached_property
     def orders_undated(self) -> DataFrame:
         """Orders before the trading day is known."""
-        key = F.col("o_orderkey")
-        revenue = _cents("o_totalprice")
-        tax = F.expr("cast(round(o_totalprice * 100) as bigint) * 8 div 108")
-        tip = (key % 4) * F.lit(150).cast("bigint")
-        created = self._created("o_orderkey", "o_orderdate")
-        priority = F.col("o_orderpriority")
-        return self.raw("orders").select(
-            _text("o_orderkey").alias("order_id"),
-            (key % 5).cast("string").alias("location_id"),
-            created.alias("created_at"),
-            F.timestamp_add("MINUTE", (key % 5000).cast("int"), created).alias("updated_at"),
-            F.when(key % 9 != 0, F.timestamp_add("MINUTE", F.lit(45), created)).alias("closed_at"),
-            F.when((F.col("o_orderstatus") == "P") & (priority == "5-LOW"), "CANCELED")
-            .when(key % 211 != 0, "COMPLETED").alias("state"),
-            revenue.alias("revenue_cents"),
-            tax.alias("tax_cents"),
-            tip.alias("tip_cents"),
-            F.when(key % 6 == 0, 500).otherwise(0).cast("bigint").alias("discount_cents"),
-            F.when(key % 8 == 0, 200).otherwise(0).cast("bigint").alias("service_charge_cents"),
-            (revenue - tax - tip).alias("net_sales_cents"),
-            F.when(priority == "1-URGENT", "DELIVERY").when(priority == "2-HIGH", "PICKUP").alias("fulfillment_type"),
-            F.when(key % 7 != 0, _text("o_custkey")).alias("customer_id"),
-            (1 + key % 6).cast("double").alias("item_quantity"),
-            F.col("o_orderstatus").alias("upstream_status"),
-            F.col("o_orderpriority").alias("upstream_priority"),
-            key.alias("k"),
+        created = "timestampadd(MINUTE, cast((o_orderkey * 37) % 1440 as int), o_orderdate)"
+        return self.raw("orders").selectExpr(
+            "*", f"{created} as created_at", "cast(round(o_totalprice * 100) as bigint) as revenue_cents",
+            "cast((o_orderkey % 4) * 150 as bigint) as tip_cents",
+        ).selectExpr(
+            "cast(o_orderkey as string) as order_id",
+            "cast(o_orderkey % 5 as string) as location_id",
+            "created_at",
+            "timestampadd(MINUTE, cast(o_orderkey % 5000 as int), created_at) as updated_at",
+            "case when o_orderkey % 9 <> 0 then timestampadd(MINUTE, 45, created_at) end as closed_at",
+            "case when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then 'CANCELED' "
+            "when o_orderkey % 211 <> 0 then 'COMPLETED' end as state",
+            "revenue_cents",
+            "revenue_cents * 8 div 108 as tax_cents",
+            "tip_cents",
+            "cast(case when o_orderkey % 6 = 0 then 500 else 0 end as bigint) as discount_cents",
+            "cast(case when o_orderkey % 8 = 0 then 200 else 0 end as bigint) as service_charge_cents",
+            "revenue_cents - revenue_cents * 8 div 108 - tip_cents as net_sales_cents",
+            "case o_orderpriority when '1-URGENT' then 'DELIVERY' when '2-HIGH' then 'PICKUP' end as fulfillment_type",
+            "case when o_orderkey % 7 <> 0 then cast(o_custkey as string) end as customer_id",
+            "cast(1 + o_orderkey % 6 as double) as item_quantity",
+            "o_orderstatus as upstream_status",
+            "o_orderpriority as upstream_priority",
+            "o_orderkey as k",
         )
 
     @cached_property
-    def orders(self) -> DataFrame:
-        return business_day(self.orders_undated, self.zones).drop("upstream_status", "upstream_priority", "k")
+    def orders_dated(self) -> DataFrame:
+        return business_day(self.orders_undated, self.zones)
 
     @cached_property
-    def line_versions(self) -> DataFrame:
-        """Line items as landed: several versions of a (order, line) key, not yet deduplicated."""
-        flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-        choice = "struct<uid:string,catalog_object_id:string,name:string,price_cents:bigint>"
-
-        def modifier(uid: str, name: str, cents: int) -> Column:
-            return F.struct(
-                F.lit(uid).alias("uid"), F.lit(f"MOD-{uid}").alias("catalog_object_id"),
-                F.lit(name).alias("name"), F.lit(cents).cast("bigint").alias("price_cents"),
-            ).cast(choice)
-
-        return self.raw("lineitem").select(
-            _text("l_orderkey").alias("order_id"),
-            _text("l_linenumber").alias("line_item_uid"),
-            (F.col("l_orderkey") % 5).cast("string").alias("location_id"),
-            self._created("l_orderkey", "l_shipdate").alias("created_at"),
-            F.when(F.col("l_partkey") % 41 != 0, F.concat(F.lit("VAR"), _text("l_partkey"))).alias("catalog_object_id"),
-            F.concat(F.lit("Dish "), (F.col("l_partkey") % 64).cast("string")).alias("item_name"),
-            F.col("l_quantity").alias("quantity"),
-            _cents("l_extendedprice").alias("total_cents"),
-            F.array_compact(
-                F.array(
-                    F.when(flag == "R", modifier("M1", "Extra spicy", 50)),
-                    F.when(status == "O", modifier("M2", "No onions", 0)),
-                    F.when(flag == "A", modifier("M3", "Large", 150)),
-                )
-            ).alias("modifiers"),
-            *[F.col(c).alias(f"v_{c}") for c in self.LINE_VERSION],
-        )
+    def orders(self) -> DataFrame:
+        return self.orders_dated.drop("upstream_status", "upstream_priority", "k")
 
     # Later shipping wins; the remaining columns make the order total.
     LINE_VERSION = (
@@ -262,6 +242,31 @@ class SampleShop:
         "l_returnflag", "l_linestatus",
     )
 
+    @cached_property
+    def line_versions(self) -> DataFrame:
+        """Line items as landed: several versions of a (order, line) key, not yet deduplicated."""
+        choice = "named_struct('uid', '{0}', 'catalog_object_id', 'MOD-{0}', 'name', '{1}', 'price_cents', {2}L)"
+        picks = ", ".join(
+            f"case when {condition} then {choice.format(*values)} end"
+            for condition, values in (
+                ("l_returnflag = 'R'", ("M1", "Extra spicy", 50)),
+                ("l_linestatus = 'O'", ("M2", "No onions", 0)),
+                ("l_returnflag = 'A'", ("M3", "Large", 150)),
+            )
+        )
+        return self.raw("lineitem").selectExpr(
+            "cast(l_orderkey as string) as order_id",
+            "cast(l_linenumber as string) as line_item_uid",
+            "cast(l_orderkey % 5 as string) as location_id",
+            "timestampadd(MINUTE, cast((l_orderkey * 37) % 1440 as int), l_shipdate) as created_at",
+            "case when l_partkey % 41 <> 0 then concat('VAR', cast(l_partkey as string)) end as catalog_object_id",
+            "concat('Dish ', cast(l_partkey % 64 as string)) as item_name",
+            "l_quantity as quantity",
+            "cast(round(l_extendedprice * 100) as bigint) as total_cents",
+            f"array_compact(array({picks})) as modifiers",
+            *[f"{c} as v_{c}" for c in self.LINE_VERSION],
+        )
+
     @cached_property
     def order_item_records(self) -> DataFrame:
         """Latest version of every line item with its nested modifiers."""
@@ -280,58 +285,50 @@ class SampleShop:
 
     @cached_property
     def payments(self) -> DataFrame:
-        key, revenue = F.col("k"), F.col("revenue_cents")
-        card = key % 10 < 6
-        brand = F.when(key % 3 == 0, "VISA").when(key % 3 == 1, "MASTERCARD").otherwise("AMERICAN_EXPRESS")
-        dated = business_day(self.orders_undated, self.zones)
-        return dated.select(
-            F.concat(F.lit("P"), "order_id").alias("payment_id"),
-            F.when(key % 50 != 0, F.col("order_id")).alias("order_id"),
+        return self.orders_dated.selectExpr(
+            "concat('P', order_id) as payment_id",
+            "case when k % 50 <> 0 then order_id end as order_id",
             "location_id", "created_at", "updated_at", "business_date",
-            F.when(key % 17 == 0, "FAILED").otherwise("COMPLETED").alias("status"),
-            revenue.alias("amount_cents"),
-            F.when(card, "CARD").when(key % 10 < 9, "CASH").otherwise("GIFT_CARD").alias("source_type"),
-            F.when(card, brand).alias("card_brand"),
-            F.when(card, F.expr("revenue_cents * 29 div 1000 + 30")).otherwise(0).cast("bigint")
-            .alias("processing_fee_cents"),
+            "case when k % 17 = 0 then 'FAILED' else 'COMPLETED' end as status",
+            "revenue_cents as amount_cents",
+            "case when k % 10 < 6 then 'CARD' when k % 10 < 9 then 'CASH' else 'GIFT_CARD' end as source_type",
+            "case when k % 10 < 6 then case k % 3 when 0 then 'VISA' when 1 then 'MASTERCARD' "
+            "else 'AMERICAN_EXPRESS' end end as card_brand",
+            "cast(case when k % 10 < 6 then revenue_cents * 29 div 1000 + 30 else 0 end as bigint) "
+            "as processing_fee_cents",
         )
 
     @cached_property
     def refunds(self) -> DataFrame:
         """Urgent orders that were fulfilled are refunded by a tenth."""
-        refunded = self.orders_undated.where(
-            (F.col("upstream_status") == "F") & (F.col("upstream_priority") == "1-URGENT")
-        )
-        return business_day(refunded, self.zones).select(
-            F.concat(F.lit("R"), "order_id").alias("refund_id"),
+        refunded = self.orders_dated.where("upstream_status = 'F' and upstream_priority = '1-URGENT'")
+        return refunded.selectExpr(
+            "concat('R', order_id) as refund_id",
             "order_id", "location_id", "created_at", "updated_at", "business_date",
-            F.expr("net_sales_cents div 10").alias("amount_cents"),
+            "net_sales_cents div 10 as amount_cents",
         )
 
     @cached_property
     def shifts(self) -> DataFrame:
         """Every logged event is a shift; an error is one that was never closed."""
-        seconds = F.round(F.col("value") * 60).cast("bigint")
-        started = F.timestamp_add("DAY", F.lit(-SHIFT_OFFSET_DAYS), F.date_trunc("second", "ts"))
-        is_open = F.col("event_type") == "error"
-        rate = (1500 + (F.col("user_id") % 7) * 125).cast("bigint")
-        hours = F.when(is_open, 0.0).otherwise(seconds / F.lit(3600.0))
-        rows = self.raw("events").select(
-            _text("event_id").alias("shift_id"),
-            _text("user_id").alias("team_member_id"),
-            (F.col("user_id") % 5).cast("string").alias("location_id"),
-            started.alias("start_at"),
-            F.when(~is_open, F.timestamp_add("SECOND", seconds.cast("int"), started)).alias("end_at"),
-            hours.alias("hours"),
-            rate.alias("hourly_rate_cents"),
-            F.bround(rate * hours).cast("bigint").alias("labor_cost_cents"),
+        rows = self.raw("events").selectExpr(
+            "*", "cast(round(value * 60) as bigint) as secs", "event_type = 'error' as is_open",
+            f"timestampadd(DAY, -{SHIFT_OFFSET_DAYS}, date_trunc('second', ts)) as start_at",
+            "cast(1500 + (user_id % 7) * 125 as bigint) as rate",
+        ).selectExpr(
+            "*", "case when is_open then 0.0D else secs / 3600.0D end as hours"
+        ).selectExpr(
+            "cast(event_id as string) as shift_id",
+            "cast(user_id as string) as team_member_id",
+            "cast(user_id % 5 as string) as location_id",
+            "start_at",
+            "case when not is_open then timestampadd(SECOND, cast(secs as int), start_at) end as end_at",
+            "hours",
+            "rate as hourly_rate_cents",
+            "cast(bround(rate * hours) as bigint) as labor_cost_cents",
         )
         return business_day(rows, self.zones, "start_at").drop("business_hour")
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        names = (
-            "locations", "calendar_days", "weather", "events", "promotions", "catalog_items",
-            "catalog_variations", "orders", "order_items", "order_item_modifiers", "payments", "refunds", "shifts",
-        )
-        return {name: getattr(self, name) for name in names}
+    def tables(self) -> Mapping[str, DataFrame]:
+        return _Tables(self)

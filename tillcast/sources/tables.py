@@ -1,24 +1,42 @@
 """Parquet tables with keyed upsert.
 
-Fact tables are partitioned by trading day and a merge rewrites only the days it touches. Small
-dimension tables are rewritten as a new snapshot.
+Fact tables are partitioned by trading day (or month, or year) and a merge rewrites only the partitions it
+touches. Small dimension tables are rewritten as a new snapshot.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.operators.ingest import upsert_latest
 from tillcast.session import materialize
 
-DAY_KEY = "day_key"
+PART_KEY = "part_key"
 UNDATED = "undated"
-FILES_PER_DAY = 4
 SNAPSHOT = "snapshot"
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a fact table is cut: the date pattern of a partition and the files inside one.
+
+    A large history is cut by day, so that a correction rewrites one day; a small one by month or year,
+    so that files do not become tiny.
+    """
+
+    pattern: str = "yyyy-MM-dd"
+    files: int = 4
+
+    def key(self, column: str = "business_date") -> Column:
+        """Partition value; rows without a date share a partition of their own. The leading letter keeps
+        the value text when the partition column is read back."""
+        return F.coalesce(F.concat(F.lit("d"), F.date_format(column, self.pattern)), F.lit(UNDATED))
+
+
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -28,60 +46,55 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def day_key(column: str = "business_date"):
-    """Partition value of a day; rows without one share a partition of their own."""
-    return F.coalesce(F.date_format(column, "yyyy-MM-dd"), F.lit(UNDATED))
-
-
-def read_days(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """Rows of a day-partitioned table, without the markers of emptied days."""
+def read_parts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """Rows of a partitioned table, without the markers of emptied partitions."""
     stored = read_if_present(spark, path)
     return None if stored is None else stored.where(F.col(keys[0]).isNotNull())
 
 
-def write_days(rows: DataFrame, path: str, days: DataFrame, spread_by: list[str], files_per_day: int) -> None:
-    """Replace the partitions listed in ``days`` with ``rows``.
+def write_parts(rows: DataFrame, path: str, parts: DataFrame, spread_by: list[str], files: int) -> None:
+    """Replace the partitions listed in ``parts`` with ``rows``.
 
-    A day is spread over several tasks by a hash of its key, so neither a busy day nor a busy location
-    is one task. Every listed day also gets a marker row of nulls: a day whose rows have all moved
-    elsewhere is thereby overwritten too, instead of keeping its stale rows.
+    A partition is spread over several tasks by a hash of its key, so neither a busy day nor a busy
+    location is one task. Every listed partition also gets a marker row of nulls: a partition whose rows
+    have all moved elsewhere is thereby overwritten too, instead of keeping its stale rows.
     """
-    markers = days.select(
-        *[F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name != DAY_KEY], DAY_KEY
+    markers = parts.select(
+        *[F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name != PART_KEY], PART_KEY
     ).select(*rows.columns)
-    bucket = F.pmod(F.xxhash64(*spread_by), F.lit(files_per_day))
+    bucket = F.pmod(F.xxhash64(*spread_by), F.lit(files))
     (
         rows.unionByName(markers)
-        .repartition(DAY_KEY, bucket)
+        .repartition(PART_KEY, bucket)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY_KEY)
+        .partitionBy(PART_KEY)
         .parquet(path)
     )
 
 
-def merge_days(
-    spark: SparkSession, path: str, batch: DataFrame, keys: list[str], files_per_day: int = FILES_PER_DAY
+def merge_parts(
+    spark: SparkSession, path: str, batch: DataFrame, keys: list[str], layout: Layout = Layout()
 ) -> DataFrame:
-    """Upsert ``batch`` (one row per key, typed, with business_date) and return the touched days.
+    """Upsert ``batch`` (one row per key, typed, with business_date) and return the touched partitions.
 
-    Touched are the days of the batch and the days its keys were stored under before, found by reading
+    Touched are the partitions of the batch and those its keys were stored in before, found by reading
     only the key columns. There is no lateness limit. Repeating a merge changes nothing.
     """
-    newest = materialize(batch.withColumn(DAY_KEY, day_key()), "merge-batch")
-    stored = read_days(spark, path, keys)
-    days = newest.select(DAY_KEY)
+    newest = materialize(batch.withColumn(PART_KEY, layout.key()), "merge-batch")
+    stored = read_parts(spark, path, keys)
+    parts = newest.select(PART_KEY)
     if stored is not None:
-        moved = stored.select(*keys, DAY_KEY).join(newest.select(*keys), keys, "left_semi").select(DAY_KEY)
-        days = days.unionByName(moved)
-    touched = materialize(days.distinct(), "merge-days")
+        moved = stored.select(*keys, PART_KEY).join(newest.select(*keys), keys, "left_semi").select(PART_KEY)
+        parts = parts.unionByName(moved)
+    touched = materialize(parts.distinct(), "merge-parts")
     if stored is None:
         rows = newest
     else:
-        # The semi join on the partition column prunes the scan to the touched days at run time.
-        kept = stored.join(touched, DAY_KEY, "left_semi").join(newest.select(*keys), keys, "left_anti")
+        # The semi join on the partition column prunes the scan to the touched partitions at run time.
+        kept = stored.join(touched, PART_KEY, "left_semi").join(newest.select(*keys), keys, "left_anti")
         rows = kept.select(*newest.columns).unionByName(newest)
-    write_days(rows, path, touched, keys, files_per_day)
+    write_parts(rows, path, touched, keys, layout.files)
     return touched
 
 

@@ -19,13 +19,12 @@ from tillcast.operators.rollups import DAY, daily_sales
 from tillcast.schemas import EntitySpec
 from tillcast.sources.landing import FILE_ORDER, RUN_FILE, parse_lines
 from tillcast.sources.tables import (
-    DAY_KEY,
-    FILES_PER_DAY,
-    day_key,
-    merge_days,
+    PART_KEY,
+    Layout,
+    merge_parts,
     merge_dimension,
-    read_days,
-    write_days,
+    read_parts,
+    write_parts,
 )
 
 ROLLUP = "daily_sales"
@@ -46,9 +45,9 @@ def landed_stream(spark: SparkSession, raw_dir: str, entity: str, files_per_batc
 
 def merge_landed(
     spark: SparkSession, lines: DataFrame, out_dir: str, spec: EntitySpec, zones: Lookup | None,
-    cutoff_hour: int = CUTOFF_HOUR, files_per_day: int = FILES_PER_DAY,
+    cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(),
 ) -> DataFrame | None:
-    """Parse, type and upsert a set of landed lines; the last line of a key wins. Returns the touched days
+    """Parse, type and upsert a set of landed lines; the last line of a key wins. Returns the touched partitions
     of a fact table."""
     good, _ = parse_lines(lines, spec.landing)
     order = [F.col(c) for c in FILE_ORDER]
@@ -65,12 +64,12 @@ def merge_landed(
     nested = ("modifiers",) if spec.child else ()
     rows = typed_rows(keyed, spec, zones, cutoff_hour, keep=nested)
     newest = latest_by_key(rows.drop(*nested), list(spec.keys), order).drop(*FILE_ORDER)
-    touched = merge_days(spark, f"{out_dir}/{spec.table}", newest, list(spec.keys), files_per_day)
+    touched = merge_parts(spark, f"{out_dir}/{spec.table}", newest, list(spec.keys), layout)
     if spec.child:
         # Children are stored under the day of their parent.
         child = _child_rows(rows, spec, "business_date", *FILE_ORDER)
         newest = latest_by_key(child, list(spec.child.keys), order).drop(*FILE_ORDER)
-        merge_days(spark, f"{out_dir}/{spec.child.table}", newest, list(spec.child.keys), files_per_day)
+        merge_parts(spark, f"{out_dir}/{spec.child.table}", newest, list(spec.child.keys), layout)
     return touched
 
 
@@ -79,31 +78,32 @@ def _child_rows(parents: DataFrame, spec: EntitySpec, *carry: str) -> DataFrame:
     return with_defaults(rows, spec.child.defaults)
 
 
-def refresh_daily_sales(spark: SparkSession, out_dir: str, touched: DataFrame) -> None:
-    """Recompute the daily rollup of the touched days only."""
-    orders = read_days(spark, f"{out_dir}/orders", ["order_id"])
-    days = orders.join(touched, DAY_KEY, "left_semi")
-    rollup = daily_sales(days).withColumn(DAY_KEY, day_key())
-    write_days(rollup, f"{out_dir}/{ROLLUP}", touched, DAY, files_per_day=1)
+def refresh_daily_sales(spark: SparkSession, out_dir: str, touched: DataFrame, layout: Layout) -> None:
+    """Recompute the daily rollup of the touched partitions only."""
+    orders = read_parts(spark, f"{out_dir}/orders", ["order_id"])
+    days = orders.join(touched, PART_KEY, "left_semi")
+    rollup = daily_sales(days).withColumn(PART_KEY, layout.key())
+    write_parts(rollup, f"{out_dir}/{ROLLUP}", touched, DAY, files=1)
 
 
 def current_daily_sales(spark: SparkSession, out_dir: str) -> DataFrame:
-    return read_days(spark, f"{out_dir}/{ROLLUP}", DAY).drop(DAY_KEY)
+    return read_parts(spark, f"{out_dir}/{ROLLUP}", DAY).drop(PART_KEY)
 
 
 def run_ingest(
     spark: SparkSession, raw_dir: str, out_dir: str, spec: EntitySpec, zones: Lookup | None,
     after: Callable[[DataFrame], None] | None = None, files_per_batch: int = 1000,
+    layout: Layout = Layout(),
 ) -> None:
     """Process everything that landed since the last run, then stop.
 
-    ``after`` receives the touched days of each micro-batch, for example to refresh a rollup.
+    ``after`` receives the touched partitions of each micro-batch, for example to refresh a rollup.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         # The line number inside a split; the batch reads each split in order.
         lines = batch.withColumn("_line", F.monotonically_increasing_id())
-        touched = merge_landed(batch.sparkSession, lines, out_dir, spec, zones)
+        touched = merge_landed(batch.sparkSession, lines, out_dir, spec, zones, layout=layout)
         _, bad = parse_lines(batch, spec.landing)
         # Each micro-batch owns its folder, so a repeated one replaces its own lines.
         bad.write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{spec.entity}/batch_id={batch_id}")
@@ -121,9 +121,10 @@ def run_ingest(
 
 
 def ingest_orders(spark: SparkSession, raw_dir: str, out_dir: str, spec: EntitySpec, zones: Lookup,
-                  files_per_batch: int = 1000) -> None:
+                  files_per_batch: int = 1000, layout: Layout = Layout()) -> None:
     """Orders with a rollup that is always fresh."""
     run_ingest(
         spark, raw_dir, out_dir, spec, zones,
-        after=lambda touched: refresh_daily_sales(spark, out_dir, touched), files_per_batch=files_per_batch,
+        after=lambda touched: refresh_daily_sales(spark, out_dir, touched, layout),
+        files_per_batch=files_per_batch, layout=layout,
     )
