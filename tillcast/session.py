@@ -53,5 +53,14 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Cut a scan with fewer splits than the session has shuffle partitions, ahead of costly row work.
+
+    A large input already has more splits and is passed through without a shuffle.
+    """
+    wanted = default_parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

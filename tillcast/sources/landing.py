@@ -17,18 +17,19 @@ FILE_ORDER = ("_file", "_block", "_line")
 
 
 def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Split text lines into (good records, quarantined lines). Blank lines are neither."""
-    parsed = lines.where(F.trim(column) != "").withColumn(
-        "__r",
-        F.from_json(
-            column, f"{schema}, {CORRUPT} string",
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
-        ),
+    """Split text lines into (good records, quarantined lines). Blank lines are neither.
+
+    The record goes through a generator of one element, so that a line is parsed once and not again by
+    the filter and by every field that is read.
+    """
+    record = F.from_json(
+        column, f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     extra = [c for c in lines.columns if c != column]
-    broken = F.col(f"__r.{CORRUPT}").isNotNull() | F.col("__r").isNull()
-    good = parsed.where(~broken).select("__r.*", *extra).drop(CORRUPT)
-    bad = parsed.where(broken).select(F.col(column).alias("line"), *extra)
+    parsed = lines.where(F.trim(column) != "").select(F.col(column).alias("__line"), *extra, F.inline(F.array(record)))
+    broken = F.col(CORRUPT).isNotNull()
+    good = parsed.where(~broken).drop(CORRUPT, "__line")
+    bad = parsed.where(broken).select(F.col("__line").alias("line"), *extra)
     return good, bad
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.session import spread
 from tillcast.sources.sample import SampleShop
 
 RFC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -71,7 +72,7 @@ def order_payloads(shop: SampleShop) -> DataFrame:
         person("DE", (k + i) % 3 == 1).alias("delivery_details"),
     )
     kinds = F.array(F.lit("CASH"), F.lit("CARD"), F.lit("GIFT_CARD"))
-    return shop.orders_undated.select(
+    return spread(shop.orders_undated).select(
         F.col("order_id").alias("id"),
         "location_id",
         stamp("created_at").alias("created_at"),

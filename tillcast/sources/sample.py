@@ -18,7 +18,7 @@ from tillcast.functions.trading_day import business_day, location_zones
 from tillcast.operators.dims import calendar_days, expand_events, expand_promotions
 from tillcast.operators.ingest import expand_modifiers, latest_by_key
 from tillcast.operators.normalize import weather_flags
-from tillcast.session import pin_utc
+from tillcast.session import pin_utc, spread
 
 AS_OF = "2001-08-01"
 HORIZON_DAYS = 14
@@ -254,7 +254,7 @@ class SampleShop:
                 ("l_returnflag = 'A'", ("M3", "Large", 150)),
             )
         )
-        return self.raw("lineitem").selectExpr(
+        return spread(self.raw("lineitem")).selectExpr(
             "cast(l_orderkey as string) as order_id",
             "cast(l_linenumber as string) as line_item_uid",
             "cast(l_orderkey % 5 as string) as location_id",
