@@ -16,7 +16,7 @@ from tillcast.operators.summary import daily_summary
 from tillcast.operators.validate import raise_if_blocked, validation_report
 from tillcast.schemas import BY_ENTITY, ENTITIES, INSTANT_FIELDS, EntitySpec, field_names
 from tillcast.session import pin_utc
-from tillcast.sources.landing import raw_lines
+from tillcast.sources.landing import parse_lines, raw_lines
 from tillcast.sources.tables import PART_KEY, Layout, read_parts, read_dimension, read_if_present
 from tillcast.streaming.incremental import merge_landed
 
@@ -94,7 +94,7 @@ def load_all(
     spark: SparkSession, raw_dir: str, out_dir: str, only: list[str] | None = None, force: bool = False,
     cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(),
 ) -> dict[str, int]:
-    """Load every entity, locations first, and return the lines read per entity.
+    """Load every entity, locations first, and return the records read per entity.
 
     A file is entered in the ledger after its rows are merged: a run that dies in between merges them
     again, which changes nothing.
@@ -112,7 +112,10 @@ def load_all(
         if lines is None:
             done[spec.entity] = 0
             continue
-        entries = lines.groupBy(F.col("_file").alias("path")).agg(F.count(F.lit(1)).alias("rows")).select(
+        # Good records per file; a file without any is entered too, so that it is not read again.
+        good = parse_lines(lines, spec.landing)[0].select("_file", F.lit(1).cast("bigint").alias("n"))
+        listed = lines.select("_file", F.lit(0).cast("bigint").alias("n")).unionByName(good)
+        entries = listed.groupBy(F.col("_file").alias("path")).agg(F.sum("n").alias("rows")).select(
             "path", F.lit(spec.entity).alias("entity"), "rows", F.current_timestamp().alias("loaded_at")
         )
         # At most one row per landed file.
