@@ -14,8 +14,12 @@ def cents(money: Column) -> Column:
 
 
 def dollars(amount: Column, digits: int = 2) -> Column:
-    """Cents to dollars, rounded half to even."""
-    return F.bround(amount / F.lit(100.0), digits)
+    """Cents to dollars, rounded half to even.
+
+    Noise in the last bits of a double is rounded off first; otherwise it would decide which way an exact
+    half cent goes.
+    """
+    return F.bround(F.round(amount, 4) / F.lit(100.0), digits)
 
 
 def flag(condition: Column) -> Column:
