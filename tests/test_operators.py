@@ -226,6 +226,11 @@ def test_feature_view_history(shop):
     past = [view[day(n)].target_sales_cents for n in range(43, 50)]
     assert view[day(50)].sales_avg_7_cents == sum(past) // 7
     assert view[day(31)].target_sales_cents == 0
+    whole = reads.forecast_features(shop)
+    assert reads.feature_frame(whole, "L1", drop_warmup=True).count() == DAYS - 14
+    assert reads.feature_frame(whole, "elsewhere").count() == 0
+    assert reads.feature_frame(whole, observed_only=False).count() == DAYS + 14
+    assert reads.prediction_rows(whole, "L1").count() == 14
 
 
 @pytest.fixture(scope="module")

@@ -271,7 +271,7 @@ select *, customer_count - new_customer_count returning_customer_count from s_ne
     + " where business_date >= date '2000-06-15'",
     "forecast_features": _rounded("w_view", "labor_hours item_count"),
     "feature_frame": _rounded("w_view", "labor_hours item_count") + """
-where is_observed = 1 and target_sales_cents is not null and location_id = '1' and sales_lag_14_cents is not null""",
+where is_observed = 1 and target_sales_cents is not null and sales_lag_14_cents is not null""",
     "prediction_rows": _rounded("w_view", "labor_hours item_count") + " where is_observed = 0",
     "latest_daily_sales": _SALES + " order by business_date desc, location_id limit 30",
     "top_items": """

@@ -402,7 +402,7 @@ def forecast_features(shop):
 
 @query
 def feature_frame(shop):
-    return rounded(reads.feature_frame(reads.forecast_features(shop.tables), location_id="1", drop_warmup=True))
+    return rounded(reads.feature_frame(reads.forecast_features(shop.tables), drop_warmup=True))
 
 
 @query
