@@ -1,6 +1,6 @@
 """License scan by diagonal voting.
 
-Every word k-gram of every text is joined by its hash to the positions of the same gram in the license
+Every word pair of every text is joined by its hash to the positions of the same pair in the license
 templates. A hit votes for the diagonal ``text position - template position``; votes are summed per diagonal,
 neighbouring diagonals (a word added or lost inside the passage) are merged, and a merged span counts when
 enough of the template's grams voted for it. Short phrases allow no gap and need every gram.
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.rows import one_per_id, table, words_of
+from tillcast.llm.rows import folded_words, one_per_id, table
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,6 @@ class Template:
     label: str
     text: str
     base: bool = False
-    k: int = 2
     slack: int = 0
     coverage: float = 1.0
 
@@ -52,31 +51,19 @@ TEMPLATES = (
     Template("cc-by-nc", "cc by nc"),
     Template("cc-by-sa", "cc by sa"),
     Template("rights-reserved", "all rights reserved"),
-    *(Template(label, text, k=4, slack=2, coverage=0.6) for label, text in NOTICES),
+    *(Template(label, text, slack=2, coverage=0.6) for label, text in NOTICES),
 )
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """(template, label, base, slack, coverage, n_grams, at, gram, h): a constant of a few hundred rows."""
+    """(template, label, base, slack, coverage, n_grams, at, a, b, h): a constant of a few hundred rows."""
     rows = []
     for number, t in enumerate(templates):
         words = t.text.split()
-        count = len(words) - t.k + 1
-        for at in range(count):
-            gram = " ".join(words[at : at + t.k])
-            rows.append((number, t.label, t.base, t.slack, t.coverage, t.k, count, at, gram))
-    schema = (
-        "template int, label string, base boolean, slack int, coverage double, k int, n_grams int, at int, gram string"
-    )
-    return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64("gram"))
-
-
-def _grams(words: Column, k: int) -> Column:
-    starts = F.sequence(F.lit(0), F.size(words) - k)
-    made = F.transform(
-        starts, lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]).alias("gram"))
-    )
-    return F.when(F.size(words) >= k, made).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))
+        for at, (a, b) in enumerate(zip(words, words[1:])):
+            rows.append((number, t.label, t.base, t.slack, t.coverage, len(words) - 1, at, a, b))
+    schema = "template int, label string, base boolean, slack int, coverage double, n_grams int, at int, a string, b string"
+    return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64("a", "b"))
 
 
 def diagonal_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -85,17 +72,19 @@ def diagonal_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     The templates are a constant of this module or of the caller, so broadcasting them is bounded; no text is
     shuffled, and all votes of a document are summed in the task that read it.
     """
-    sizes = sorted({t.k for t in templates})
-    words = one_per_id(docs).select("doc_id", words_of(F.col("text")).alias("words"))
-    grams = words.select(
-        "doc_id", F.size("words").alias("n_words"), F.explode_outer(F.concat(*[_grams(F.col("words"), k) for k in sizes])).alias("g")
-    ).select("doc_id", "n_words", "g.pos", "g.gram", F.xxhash64("g.gram").alias("h"))
-    wanted = F.broadcast(template_grams(docs.sparkSession, templates).drop("k"))
-    hits = grams.join(wanted, ["h", "gram"], "left").where("template is not null or coalesce(pos, 0) = 0")
+    words = one_per_id(docs).select("doc_id", folded_words(F.col("text")).alias("words"))
+    pairs = F.arrays_zip(F.col("words").alias("first"), F.slice("words", F.lit(2), F.size("words")).alias("second"))
+    grams = words.select("doc_id", F.size("words").alias("n_words"), F.posexplode_outer(pairs).alias("pos", "g")).select(
+        "doc_id", "n_words", "pos", "g.first", "g.second", F.xxhash64("g.first", "g.second").alias("h")
+    )
+    wanted = F.broadcast(template_grams(docs.sparkSession, templates))
+    same = (F.col("first") == F.col("a")) & (F.col("second") == F.col("b"))
+    hits = grams.join(wanted, "h", "left").where((F.col("template").isNotNull() & same) | (F.coalesce("pos", F.lit(0)) == 0))
+    template = F.when(same, F.col("template")).alias("template")
     return hits.groupBy(
-        "doc_id", "n_words", "template", "label", "base", "slack", "coverage", "n_grams",
+        "doc_id", "n_words", template, "label", "base", "slack", "coverage", "n_grams",
         (F.col("pos") - F.col("at")).alias("diagonal"),
-    ).agg(F.count("template").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    ).agg(F.count(template).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -147,25 +136,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    def quoted(t: Template) -> str:
-        return f"({TEMPLATES.index(t)}, '{t.label}', {t.base}, {t.k}, {t.slack}, {t.coverage}, '{t.text}')"
-
-    return ",\n".join(map(quoted, TEMPLATES))
+    return ",\n".join(f"({i}, '{t.label}', {t.base}, {t.slack}, {t.coverage}, '{t.text}')" for i, t in enumerate(TEMPLATES))
 
 
 SQL = rf"""
-with template(id, label, base, k, slack, coverage, body) as (values {_values()}),
+with template(id, label, base, slack, coverage, body) as (values {_values()}),
 doc as (
   select doc_id, list_filter(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
 tg as (
-  select id, label, base, k, slack, coverage, i as ofs, array_to_string(list_slice(tw, i + 1, i + k), ' ') as gram,
-    len(tw) - k + 1 as n_grams
-  from (select *, string_split(body, ' ') as tw from template), unnest(range(len(tw) - k + 1)) as u(i)),
+  select id, label, base, slack, coverage, i as ofs, tw[i + 1] || ' ' || tw[i + 2] as gram, len(tw) - 1 as n_grams
+  from (select *, string_split(body, ' ') as tw from template), unnest(range(len(tw) - 1)) as u(i)),
 dg as (
-  select doc_id, i as pos, array_to_string(list_slice(w, i + 1, i + k), ' ') as gram
-  from doc, (values (2), (4)) as s(k), unnest(range(greatest(len(w) - k + 1, 0))) as u(i)),
+  select doc_id, i as pos, w[i + 1] || ' ' || w[i + 2] as gram
+  from doc, unnest(range(greatest(len(w) - 1, 0))) as u(i)),
 vote as (
   select doc_id, id, any_value(label) as label, any_value(base) as base, any_value(slack) as slack,
     any_value(coverage) as coverage, any_value(n_grams) as n_grams, pos - ofs as d, count(*) as votes, min(pos) as first

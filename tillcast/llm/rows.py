@@ -27,14 +27,18 @@ def one_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A to Z and nothing else."""
+    """Lower-case A to Z and nothing else. Meant for short strings such as hosts."""
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text: runs of digits, a-z and non-ASCII characters, A-Z lower-cased."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, UPPER.lower() + " " * len(SEPARATORS))
-    return F.array_remove(F.split(spaced, " "), "")
+def folded_words(text: Column) -> Column:
+    """Array of the words of a text, to be compared with ASCII words: runs of digits, letters and non-ASCII.
+
+    Letters beyond ASCII are lower-cased too, which no ASCII word can see: the one sign that would become an
+    ASCII letter, the Kelvin sign, is replaced before. Word boundaries are those of the text.
+    """
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+    return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.rows import ascii_lower, one_per_id, table
+from tillcast.llm.rows import one_per_id, table
 
 ANY = [frozenset()]
 MOST_STRINGS = 64
@@ -120,7 +120,7 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, kinds) of the documents whose postings satisfy the trigram query of at least one rule.
 
-    Only trigrams of the queries are posted, once per document. The queries are a constant of the rules, so
+    Only trigrams of the queries are posted, once per document, letters in lower case. The queries are a constant of the rules, so
     broadcasting them is bounded, and a document's postings meet in the task that read it.
     """
     asked = [
@@ -131,7 +131,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ]
     grams = sorted({gram for _, _, gram, _ in asked})
     found = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(g)), F.lit(g)) for g in grams]))
-    postings = docs.select("doc_id", ascii_lower(F.col("text")).alias("folded")).select(
+    postings = docs.select("doc_id", F.lower("text").alias("folded")).select(
         "doc_id", F.explode(found.cast("array<string>")).alias("gram")
     )
     queries = docs.sparkSession.createDataFrame(asked, "kind string, clause int, gram string, n_grams long")
