@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tillcast.llm import license_scan, line_dedup, secret_scan, url_filter
+from tillcast.llm import bpe, license_scan, line_dedup, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 SQL = {
     "op1_license_scan": license_scan.SQL,
