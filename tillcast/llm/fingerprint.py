@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.hashing import WordHashes, blank_words, mixed, pair_hashes
+from tillcast.llm.hashing import WordHashes, blank_words, mixed, shingle_hashes
 from tillcast.llm.rows import one_per_id, table
 from tillcast.session import materialize
 
@@ -33,7 +33,7 @@ def simhash(text: str | None, known: WordHashes) -> str:
     words = blank_words(text)
     if not words:
         return "0" * (BITS // 4)
-    terms, counts = np.unique(pair_hashes(known.of(words)), return_counts=True)
+    terms, counts = np.unique(shingle_hashes(known.of(words)), return_counts=True)
     votes = np.zeros(BITS, np.float64)
     weights = np.sqrt(counts)
     for at in range(0, len(terms), 4096):

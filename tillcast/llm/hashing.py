@@ -27,11 +27,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """One hash per pair of neighbouring words; a single word gives one hash of its own kind."""
-    if len(words) < 2:
-        return mixed(words + _A)
-    return mixed(words[:-1] * _A + np.roll(words, -1)[:-1])
+def shingle_hashes(words: np.ndarray, width: int = 2) -> np.ndarray:
+    """One hash per run of ``width`` words; fewer words give a single hash of the whole sequence."""
+    if len(words) < width:
+        whole = int(_A)
+        for word in words.tolist():
+            whole = (whole * int(_B) + word) % 2**64
+        return mixed(np.array([whole], np.uint64))
+    count = len(words) - width + 1
+    out = words[:count]
+    for i in range(1, width):
+        out = mixed(out * _A) + words[i : i + count]
+    return mixed(out)
 
 
 def blank_words(text: str | None) -> list[bytes]:

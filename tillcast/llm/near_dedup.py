@@ -1,6 +1,6 @@
 """Near duplicates: MinHash bands, sequential Bayesian verification, exact verification.
 
-Every distinct set of word pairs gets a MinHash signature. Sets that share a band are candidates; their
+Every distinct set of word shingles (pairs unless asked otherwise) gets a MinHash signature. Sets that share a band are candidates; their
 signatures are compared batch by batch, and a pair is given up as soon as the posterior chance that its
 similarity reaches the threshold falls under ``MISS``. Survivors are verified on their full sets.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.graph import components
-from tillcast.llm.hashing import WordHashes, blank_words, mixed, pair_hashes
+from tillcast.llm.hashing import WordHashes, blank_words, mixed, shingle_hashes
 from tillcast.llm.rows import one_per_id, table
 from tillcast.session import materialize
 
@@ -52,10 +52,12 @@ def least_matches(compared: int, percent: int = PERCENT, miss: float = MISS) ->
     return compared
 
 
-def shingles(text: str | None) -> frozenset:
-    """The exact set: pairs of neighbouring words, or all words if there are fewer than two."""
+def shingles(text: str | None, width: int = 2) -> frozenset:
+    """The exact set: runs of ``width`` words, or the whole sequence if there are fewer."""
     words = blank_words(text)
-    return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset(map(lambda w: (w,), words))
+    if len(words) < width:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(zip(*(words[i:] for i in range(width))))
 
 
 def _minima(hashes: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, n, cls, sig, bands): set size, digest of the set, 16 bits of each minimum, hash of each band."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +80,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     if not words:
                         out.append((0, b"", b"", []))
                         continue
-                    hashes = np.unique(pair_hashes(known.of(words)))
+                    hashes = np.unique(shingle_hashes(known.of(words), width))
                     low = _minima(hashes)
                     rows = low.reshape(BANDS, DEPTH).astype(np.uint64)
                     keys = _BAND
@@ -115,7 +117,7 @@ def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(kept, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,8 +126,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
             good = []
             for text_a, text_b in zip(b["ta"], b["tb"]):
                 if text_b != last:
-                    last, mine = text_b, shingles(text_b)
-                other = shingles(text_a)
+                    last, mine = text_b, shingles(text_b, width)
+                other = shingles(text_a, width)
                 shared = len(mine & other)
                 good.append(shared > 0 and 100 * shared >= percent * (len(mine) + len(other) - shared))
             yield b.loc[good, ["a", "b"]]
@@ -135,10 +137,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(kept, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; see ``near_duplicates`` for the edge cases."""
     own = one_per_id(docs)
-    sigs = materialize(signatures(own), "signatures")
+    sigs = materialize(signatures(own, width), "signatures")
     reps = sigs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     lead = materialize(
         sigs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sig", "bands"),
@@ -153,7 +155,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb"))
     star = _right_size(star.distinct().join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a"))
-    star_links = materialize(verified(likely(star, lead), texts), "star-links")
+    star_links = materialize(verified(likely(star, lead), texts, width), "star-links")
     first = components(star_links).select(F.col("node").alias("rep"), "component")
 
     placed = members.join(first, "rep", "left").select(
@@ -164,7 +166,7 @@ def classes(docs: DataFrame) -> DataFrame:
     one = open_rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     two = open_rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = one.join(two, "band").where("a < b and ca <> cb")
-    rest = verified(likely(_right_size(across).distinct(), lead), texts)
+    rest = verified(likely(_right_size(across).distinct(), lead), texts, width)
     found = components(star_links.unionByName(rest)).select(F.col("node").alias("rep"), "component")
 
     return (
@@ -180,14 +182,14 @@ def _right_size(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document, the smallest id of each component is kept.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows repeating a doc_id, or
     without one, are treated as in ``rows.one_per_id``; a document without an id is a copy of a document with
     the same set or stands alone. Other columns are ignored.
     """
-    return classes(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return classes(docs, width).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
