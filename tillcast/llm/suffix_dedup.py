@@ -9,7 +9,9 @@ of common prefixes in increasing order; it stops at LENGTH, and suffixes that we
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,9 @@ FLUSH = 8 << 20
 # Bytes of fragments in one transform, and fragments of one anchor up to which they go into one; strings of
 # larger groups are compared by hash, spread over all tasks.
 BLOCK_BYTES = 192 << 10
-MOST_FRAGMENTS = 2048
+MOST_FRAGMENTS = 64
+# A string reaches this far to one side of its anchor at least.
+SIDE = SPAN // 2
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -42,8 +46,8 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mixed(x[:-8] * _U(0x9E3779B97F4A7C15) ^ mixed(x[8:]))
 
 
-def fragments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, start and end of each fragment of a text; together they cover all strings of LENGTH bytes.
+def fragments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, start, end and the anchor's place of each fragment of a text; together they cover all strings of LENGTH bytes.
 
     The anchor of a string depends on its bytes only: the smallest hash, the leftmost of equals. Long texts are cut
     into overlapping chunks; a fragment cut by a chunk's end is only shorter.
@@ -61,9 +65,9 @@ def fragments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = (np.minimum(behind[:count], ahead[SPAN - 1 : SPAN - 1 + count]) & _U((1 << 23) - 1)).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         last = np.append(first[1:], count) - 1
-        parts.append((grams[at[first]], first + base, last + base + LENGTH))
+        parts.append((grams[at[first]], first + base, last + base + LENGTH, at[first] + base))
     if not parts:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
@@ -95,7 +99,7 @@ _TABLE = "anchor long, body long, doc long, place long"
 def fragment_table(docs: DataFrame) -> DataFrame:
     """(anchor, body, doc, place): fragments with the hash of their bytes, and what is already known as covered.
 
-    ``place`` is 256 * start + length, the length being under 256. Identical fragments of a task's texts are one row,
+    ``place`` is start, length and anchor's offset, the last two being under 256. Identical fragments of a task's texts are one row,
     so a passage on a third of all documents leaves each task a few times only.
     """
 
@@ -104,9 +108,9 @@ def fragment_table(docs: DataFrame) -> DataFrame:
         for b in batches:
             for doc, text in zip(b["doc"], b["text"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                anchor, start, end = fragments(raw)
+                anchor, start, end, at = fragments(raw)
                 body = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist())), _U, len(start))
-                held.append((anchor, body, np.full(len(start), doc, np.int64), start, end))
+                held.append((anchor, body, np.full(len(start), doc, np.int64), start, end, at - start))
                 size += len(raw)
                 if size > FLUSH:
                     yield from _first_of_each(held)
@@ -119,19 +123,19 @@ def fragment_table(docs: DataFrame) -> DataFrame:
 
 
 def _first_of_each(held: list[tuple]) -> Iterator[pd.DataFrame]:
-    anchor, body, doc, start, end = (np.concatenate(x) for x in zip(*held))
+    anchor, body, doc, start, end, off = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((start, doc, body, anchor))
-    anchor, body, doc, start, end = (x[order] for x in (anchor, body, doc, start, end))
+    anchor, body, doc, start, end, off = (x[order] for x in (anchor, body, doc, start, end, off))
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]))[: len(anchor)]
     yield pd.DataFrame({
         "anchor": anchor[new].view(np.int64), "body": body[new].view(np.int64), "doc": doc[new],
-        "place": start[new] * 256 + (end - start)[new],
+        "place": (start[new] << 16) + ((end - start)[new] << 8) + off[new],
     })
     yield _covered(doc[~new], start[~new], end[~new])
 
 
 def settle_identical(rows: DataFrame) -> DataFrame:
-    """(kind, anchor, doc, start, end): 1 covered, 2 fragment for a transform, 3 fragment of a very large group.
+    """(kind, anchor, doc, start, end, off): 1 covered, 2 fragment for a transform, 3 fragment of a very large group.
 
     Rows are dealt by anchor and read in sorted order, a batch at a time; only the open group of an anchor is
     carried over. Of identical fragments the earliest stays, the others are covered.
@@ -140,13 +144,13 @@ def settle_identical(rows: DataFrame) -> DataFrame:
 
     def judged(frame: pd.DataFrame) -> pd.DataFrame:
         anchor, body, doc, place = (frame[c].to_numpy() for c in ("anchor", "body", "doc", "place"))
-        start, end = place >> 8, (place >> 8) + (place & 255)
+        start, end = place >> 16, (place >> 16) + (place >> 8 & 255)
         change = anchor[1:] != anchor[:-1]
         new = np.append(True, change | (body[1:] != body[:-1]))[: len(anchor)]
         group = np.cumsum(np.append(0, change))[: len(anchor)]
         kinds = np.bincount(group, weights=new, minlength=1)[group]
         kind = np.where(~new, 1, np.where(kinds < 2, 0, np.where(kinds <= MOST_FRAGMENTS, 2, 3)))
-        out = pd.DataFrame({"kind": kind, "anchor": anchor, "doc": doc, "start": start, "end": end})
+        out = pd.DataFrame({"kind": kind, "anchor": anchor, "doc": doc, "start": start, "end": end, "off": place & 255})
         return out[out["kind"] > 0]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +160,7 @@ def settle_identical(rows: DataFrame) -> DataFrame:
             if done.any():
                 known = b[done]
                 yield pd.DataFrame({
-                    "kind": 1, "anchor": known["anchor"], "doc": known["doc"], "start": -known["place"] - 1, "end": known["body"],
+                    "kind": 1, "anchor": known["anchor"], "doc": known["doc"], "start": -known["place"] - 1, "end": known["body"], "off": 0,
                 })
             b = b[~done]
             if not len(b):
@@ -172,7 +176,7 @@ def settle_identical(rows: DataFrame) -> DataFrame:
         if carry:
             yield judged(pd.concat(carry))
 
-    return dealt.mapInPandas(stream, "kind int, anchor long, doc long, start long, end long")
+    return dealt.mapInPandas(stream, "kind int, anchor long, doc long, start long, end long, off long")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -248,12 +252,27 @@ def later_in_group(group, doc, start, end) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[later], start[later], end[later]
 
 
+def _sides(off: int, piece: bytes) -> tuple[bytes | None, bytes | None]:
+    """The anchor with SIDE bytes before it, and with as many after it, where the fragment reaches that far."""
+    return (
+        piece[off - SIDE : off + GRAM] if off >= SIDE else None,
+        piece[off : off + GRAM + SIDE] if len(piece) >= off + GRAM + SIDE else None,
+    )
+
+
+def _with_company(group: list[tuple]) -> list[tuple]:
+    """Fragments of one anchor that share one of their sides with another: no other can share a string."""
+    sides = [_sides(off, piece) for _, _, _, off, piece in group]
+    left, right = Counter(x for x, _ in sides), Counter(x for _, x in sides)
+    return [g for g, (x, y) in zip(group, sides) if (x is not None and left[x] > 1) or (y is not None and right[y] > 1)]
+
+
 def expand_fragments(pieces: DataFrame) -> DataFrame:
-    """(doc, start, end): strings of ``pieces`` (anchor, doc, start, piece) that also start earlier."""
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
+    """(doc, start, end): strings of ``pieces`` (anchor, doc, start, off, piece) that also start earlier."""
+    dealt = pieces.select("anchor", "doc", "start", "off", "piece").repartition("anchor").sortWithinPartitions("anchor")
 
     def solved(held: list[tuple]) -> pd.DataFrame:
-        _, doc, start, piece = zip(*held)
+        _, doc, start, _, piece = zip(*held)
         group, owner, at = repeated_strings(list(piece))
         first = np.array(start, np.int64)[owner] + at
         found = union(*later_in_group(group, np.array(doc, np.int64)[owner], first, first + LENGTH))
@@ -261,13 +280,14 @@ def expand_fragments(pieces: DataFrame) -> DataFrame:
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
-        for b in batches:
-            for row in zip(b["anchor"].tolist(), b["doc"].tolist(), b["start"].tolist(), b["piece"]):
-                if size > BLOCK_BYTES and row[0] != held[-1][0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+        rows = (row for b in batches for row in zip(*(b[c].tolist() for c in b.columns)))
+        for _, group in groupby(rows, key=lambda row: row[0]):
+            kept = _with_company(list(group))
+            held += kept
+            size += sum(len(row[-1]) for row in kept)
+            if size > BLOCK_BYTES:
+                yield solved(held)
+                held, size = [], 0
         if held:
             yield solved(held)
 
@@ -313,7 +333,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ``docs`` has one row per doc_id and no null text; ``doc`` is the id, or NO_ID for the row without one.
     """
     settled = materialize(settle_identical(fragment_table(docs)), "fragments")
-    wanted = settled.where("kind > 1").groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "start", "end")).alias("wanted"))
+    wanted = settled.where("kind > 1").groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "start", "end", "off")).alias("wanted"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
 
     def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,10 +342,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc, text, wants in zip(*(b[c].iloc[at : at + 256] for c in ("doc", "text", "wanted"))):
                     raw = text.encode("utf-8", "surrogatepass")
-                    rows += [(w["kind"], w["anchor"], doc, w["start"], raw[w["start"] : w["end"]]) for w in wants]
-                yield pd.DataFrame(rows, columns=["kind", "anchor", "doc", "start", "piece"])
+                    rows += [(w["kind"], w["anchor"], doc, w["start"], w["off"], raw[w["start"] : w["end"]]) for w in wants]
+                yield pd.DataFrame(rows, columns=["kind", "anchor", "doc", "start", "off", "piece"])
 
-    pieces = keyed.join(wanted, "doc").mapInPandas(sliced, "kind int, anchor long, doc long, start long, piece binary")
+    pieces = keyed.join(wanted, "doc").mapInPandas(sliced, "kind int, anchor long, doc long, start long, off long, piece binary")
     pieces = materialize(pieces, "pieces")
     return (
         settled.where("kind = 1").select("doc", "start", "end")
