@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillcast.functions.quantiles import exact_quantiles
 from tillcast.operators import dims, features, forecast, normalize, reads, splits, validate
 from tillcast.operators import summary as summaries
-from tillcast.schemas import ORDER_PAYLOAD, SHIFT_PAYLOAD
+from tillcast.schemas import CATALOG_PAYLOAD, ORDER_PAYLOAD, SHIFT_PAYLOAD
 
 START = date(2026, 4, 1)
 DAYS = 70
@@ -340,3 +340,25 @@ def test_next_day_forecast_sums_trading_locations(spark):
     assert (r.confidence, r.estimated_orders) == (0.8, 20)
     none_trade = frame.withColumn("sales_roll_mean_28", F.lit(0.0))
     assert forecast.next_day_forecast(none_trade, "p", band).first().locations == 3
+
+
+def test_an_empty_pickup_recipient_does_not_hide_the_delivery_recipient(spark):
+    line = (
+        '{"id": "o1", "fulfillments": [{"pickup_details": {"recipient": {}},'
+        ' "delivery_details": {"recipient": {"customer_id": "c7"}}}]}'
+    )
+    payload = spark.createDataFrame([(line,)], "value string").select(F.from_json("value", ORDER_PAYLOAD).alias("p"))
+    assert normalize.normalize_orders(payload.select("p.*")).first().customer_id == "c7"
+
+
+def test_a_category_listed_twice_keeps_each_item_once(spark):
+    lines = [
+        '{"type": "CATEGORY", "id": "k", "version": 1, "category_data": {"name": "old"}}',
+        '{"type": "CATEGORY", "id": "k", "version": 2, "category_data": {"name": "new"}}',
+        '{"type": "ITEM", "id": "i", "version": 1, "item_data": {"name": "tea", "category_id": "k"}}',
+    ]
+    payload = spark.createDataFrame([(x,) for x in lines], "value string").select(
+        F.from_json("value", CATALOG_PAYLOAD).alias("p")
+    )
+    rows = normalize.normalize_catalog(payload.select("p.*")).collect()
+    assert [(r.catalog_object_id, r.category_name) for r in rows] == [("i", "new")]

@@ -9,7 +9,7 @@ ISO_PREFIX = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
 def cents(money: Column) -> Column:
-    """Money struct to integer cents. Absent money is zero, not null."""
+    """Integer cents of a money struct; a missing struct or amount gives 0."""
     return F.coalesce(money["amount"].cast("bigint"), F.lit(0).cast("bigint"))
 
 

@@ -1,44 +1,22 @@
-"""Lookup joins that stay exact and balanced whatever the size of the lookup or the skew of the fact."""
+"""Lookup joins: one row per key on the lookup's side."""
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
-SALT_BUCKETS = 32
-_SALT = "__salt"
 
 
 class Lookup:
     """A keyed lookup table, one row per key.
 
-    Up to ``max_rows`` rows (measured, once) it is broadcast. Beyond that the join is salted: every
-    fact row goes to one of ``buckets`` copies of its key, so a key holding a third of the facts is
-    spread over that many tasks. The salt is a hash of the row, never ``rand()``: a task that is run
-    again after a lost executor must send its rows to the same place.
+    The join carries no hint and is the same for every size: Spark broadcasts a lookup that it measures to be
+    small, and otherwise splits the fact's partitions of a busy key at run time (adaptive skew join), where a
+    left join lets the fact's side be split.
     """
 
-    def __init__(
-        self, df: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS, buckets: int = SALT_BUCKETS
-    ):
+    def __init__(self, df: DataFrame, keys: list[str]):
         self.df = df
         self.keys = keys
-        self.max_rows = max_rows
-        self.buckets = buckets
-
-    @cached_property
-    def is_small(self) -> bool:
-        return self.df.select(*self.keys).limit(self.max_rows + 1).count() <= self.max_rows
 
     def attach(self, fact: DataFrame, how: str = "left") -> DataFrame:
         """Join on the lookup's key names. ``how`` is left, inner, left_semi or left_anti."""
-        if self.is_small:
-            return fact.join(F.broadcast(self.df), self.keys, how)
-        salted = fact.withColumn(_SALT, F.pmod(F.xxhash64(*fact.columns), F.lit(self.buckets)))
-        copies = self.df.withColumn(
-            _SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.buckets - 1).cast("bigint")))
-        )
-        return salted.join(copies, [*self.keys, _SALT], how).drop(_SALT)
+        return fact.join(self.df, self.keys, how)

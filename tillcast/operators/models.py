@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -12,7 +14,7 @@ from tillcast.operators.features import TARGET
 from tillcast.operators.forecast import target_scaler
 
 TOP_FEATURES = 6
-REFITS = 8
+REFITS = 100
 SEED = 12345
 
 
@@ -67,10 +69,14 @@ def _refit_weight(round_no: int, seed: int) -> Column:
     bucket = F.pmod(
         F.xxhash64("business_date", "location_id", F.lit(seed), F.lit(round_no)), F.lit(1_000_000)
     ) / F.lit(1e6)
-    # Cumulative Poisson(1) probabilities.
-    weight = F.lit(4.0)
-    for count, below in ((3, 0.981012), (2, 0.919699), (1, 0.735759), (0, 0.367879)):
-        weight = F.when(bucket < below, F.lit(float(count))).otherwise(weight)
+    # Cumulative Poisson(1) probabilities, until the last bucket of the hash lies below one.
+    below, chance = [], exp(-1.0)
+    while not below or below[-1] <= 1 - 1e-6:
+        below.append((below[-1] if below else 0.0) + chance)
+        chance /= len(below)
+    weight = F.lit(float(len(below) - 1))
+    for count in reversed(range(len(below) - 1)):
+        weight = F.when(bucket < below[count], F.lit(float(count))).otherwise(weight)
     return weight
 
 

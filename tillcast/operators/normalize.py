@@ -31,11 +31,11 @@ def _filled(column: Column) -> Column:
 
 def normalize_orders(payloads: DataFrame) -> DataFrame:
     """One row per order. Net sales leave out tax and tip; a missing customer is taken from the first
-    fulfillment that names a recipient (the pickup recipient when there is one, else the delivery one)."""
+    fulfillment that names a recipient (the pickup recipient when it names a customer, else the delivery one)."""
     recipients = F.transform(
         "fulfillments",
-        lambda f: _filled(
-            F.coalesce(f["pickup_details"]["recipient"], f["delivery_details"]["recipient"])["customer_id"]
+        lambda f: F.coalesce(
+            *[_filled(f[kind]["recipient"]["customer_id"]) for kind in ("pickup_details", "delivery_details")]
         ),
     )
     lines = F.col("line_items")
@@ -164,12 +164,16 @@ def normalize_customers(payloads: DataFrame) -> DataFrame:
 def normalize_catalog(objects: DataFrame) -> DataFrame:
     """ITEM objects, each with the name of its category.
 
-    Category names come from the CATEGORY objects of the same listing. The join is left to the
+    Category names come from the CATEGORY objects of the same listing; of a category listed several times the
+    newest version counts, so an item stays one row. The join is left to the
     planner: it broadcasts the names when they are measured to be small.
     """
     data = F.col("item_data")
-    names = objects.where(F.col("type") == "CATEGORY").select(
-        F.col("id").alias("category_id"), F.col("category_data.name").alias("category_name")
+    latest = F.struct("version", "updated_at", F.col("category_data.name").alias("name"))
+    names = (
+        objects.where(F.col("type") == "CATEGORY")
+        .groupBy(F.col("id").alias("category_id"))
+        .agg(F.max(latest)["name"].alias("category_name"))
     )
     items = objects.where(F.col("type") == "ITEM").select(
         F.col("id").alias("catalog_object_id"),

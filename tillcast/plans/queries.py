@@ -207,8 +207,9 @@ def _line_runs(shop: SampleShop) -> tuple[DataFrame, DataFrame]:
     order = [F.col(f"v_{c}") for c in shop.LINE_VERSION]
     keys = ["order_id", "line_item_uid"]
     lines = shop.line_versions
-    first = ingest.latest_by_key(lines.where(F.col("v_l_linestatus") == "F"), keys, order)
-    later = ingest.latest_by_key(lines.where(F.col("v_l_linestatus") == "O"), keys, order)
+    finished = F.col("v_l_linestatus").eqNullSafe("F")
+    first = ingest.latest_by_key(lines.where(finished), keys, order)
+    later = ingest.latest_by_key(lines.where(~finished), keys, order)
     return first, later
 
 

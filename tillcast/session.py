@@ -34,10 +34,12 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (tests, a laptop) does it fall back to a local folder.
+    Only a local master may do without that setting: its executor is the driver, so a local folder is shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tillcast-")
     return f"{root.rstrip('/')}/tillcast/{purpose}-{uuid.uuid4().hex}"
 
@@ -53,14 +55,5 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Cut a scan with fewer splits than the session has shuffle partitions, ahead of costly row work.
-
-    A large input already has more splits and is passed through without a shuffle.
-    """
-    wanted = default_parallelism(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
-
-
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
