@@ -39,14 +39,44 @@ def test_trading_day_known_answers(spark, zones):
     assert got == {i: c[2:] for i, c in enumerate(cases)}
 
 
-def test_lookup_large_and_small_agree(spark):
+def test_lookup_agrees_with_and_without_broadcast(spark):
     fact = spark.range(0, 5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    dim = spark.createDataFrame([("hot", 1), ("3", 2), ("6", 3)], "k string, v int")
-    small, large = Lookup(dim, ["k"]), Lookup(dim, ["k"], max_rows=1, buckets=7)
-    assert small.is_small and not large.is_small
+    lookup = Lookup(spark.createDataFrame([("hot", 1), ("3", 2), ("6", 3)], "k string, v int"), ["k"])
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
     for how in ("left", "inner", "left_semi", "left_anti"):
-        a, b = small.attach(fact, how), large.attach(fact, how)
-        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+        small = sorted(map(str, lookup.attach(fact, how).collect()))
+        try:
+            for name in names:
+                spark.conf.set(name, "-1")
+            large = sorted(map(str, lookup.attach(fact, how).collect()))
+        finally:
+            for name in names:
+                spark.conf.unset(name)
+        assert small == large
+
+
+def test_a_hot_key_of_a_lookup_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    pad = F.sha2(F.col("id").cast("string"), 256)
+    hot = F.when(F.col("id") % 10 > 0, "hot").otherwise(F.substring(pad, 1, 12))
+    fact = spark.range(0, 100_000, 1, 8).select(hot.alias("k"), "id", pad.alias("pad"))
+    dim = fact.where("k <> 'hot'").select("k", F.lit(1).alias("v")).distinct().union(spark.createDataFrame([("hot", 7)], "k string, v int"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = Lookup(dim, ["k"]).attach(fact)
+        assert joined.where("v = 7").count() == 90_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def test_quarantine_keeps_good_lines(spark):
