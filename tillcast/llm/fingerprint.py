@@ -106,9 +106,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     done = materialize(ranged.mapInPandas(along, edge), "fingerprints")
     heads = done.where("is_first").select("part", F.col("text").alias("next_text"))
     # One row per range: whatever the size of the table, there are as many as partitions.
-    parts = heads.select("part").withColumn("next_part", F.lead("part").over(Window.orderBy("part")))
-    lowest = heads.agg(F.min("part").alias("lowest"))
-    parts = parts.crossJoin(F.broadcast(lowest)).select("part", F.coalesce("next_part", "lowest").alias("next_part"))
+    order_of_parts = Window.orderBy("part")
+    lowest = F.first("part").over(order_of_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = heads.select("part", F.coalesce(F.lead("part").over(order_of_parts), lowest).alias("next_part"))
     tails = done.where("is_last").select("doc_id", "text", "part").join(parts, "part")
     ends = tails.join(heads.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "next_text")
 
