@@ -116,6 +116,32 @@ def test_near_duplicates(docs, width):
     assert rows[7].component_id == 6 and rows[4].component_id == 4 and rows[5].component_id == 5 and not rows[7].kept
 
 
+def test_loose_group_of_near_copies(spark):
+    """Copies that are nearer to some of the others than to the text they come from, and copies that are near to none."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for doc_id in range(90):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(2, 16), replace=False):
+            words[at] = f"e{rng.integers(40)}"
+        texts.append((doc_id, " ".join(words)))
+    sets = {i: near_dedup.shingles(t) for i, t in texts}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
+    assert 1 < len(set(want.values())) < 90
+    # Every document a component of its own: the pairs are all links, found without bands.
+    alone = df.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"))
+    pairs = near_dedup.across_components(alone, df)
+    assert links <= {(r.a, r.b) for r in pairs.collect()}
+    assert {(r.a, r.b) for r in near_dedup.verified(pairs, df).collect()} == links
+
+
 def test_least_matches_keeps_similar_pairs():
     assert 0 < near_dedup.least_matches(32) < near_dedup.least_matches(160) < 128
 

@@ -4,8 +4,9 @@ Every distinct set of word shingles (pairs unless asked otherwise) gets a MinHas
 signatures are compared batch by batch, and a pair is given up as soon as the posterior chance that its
 similarity reaches the threshold falls under ``MISS``. Survivors are verified on their full sets.
 
-Exact copies are one class from the start. In a band bucket every member is compared with one pivot only; pairs of
-members are made just where the links found so far leave a bucket in several components, and only across them.
+Exact copies are one class from the start. In a band bucket every member is compared with one pivot only. Where the
+links found so far leave a bucket in several components, its members meet across them at rare shared shingles, which
+finds every similar pair and hardly any other, however large the bucket is.
 
 A pair at similarity s shares no band with probability ``(1 - s^5)^32``: 3e-6 at 0.8, 7e-9 at 0.85.
 """
@@ -137,6 +138,43 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = 2, percent: int =
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(kept, "a long, b long")
 
 
+def across_components(open_sets: DataFrame, texts: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of ``open_sets`` (rep, component): every similar pair across components, and few others.
+
+    A partner in another component shares only shingles that some other component has. So with the others first and the
+    shared ones by the pairs they would make, a pair meets at a shingle from which on both sets still have the overlap
+    that the similarity asks for. A set with more shingles of its own than that leaves is compared with nothing.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.iloc[at : at + ROWS]
+                sets = [np.unique(shingle_hashes(known.of(blank_words(x)), width)).view(np.int64) for x in b["text"]]
+                yield pd.DataFrame({"rep": b["rep"], "component": b["component"], "sh": sets})
+
+    own = texts.select(F.col("doc_id").alias("rep"), "text").join(open_sets, "rep")
+    sets = materialize(own.mapInPandas(hashed, "rep long, component long, sh array<long>"), "open-sets")
+    placed = sets.select("rep", "component", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
+    held = placed.groupBy("sh", "component").agg(F.count("*").alias("c"))
+    met = held.groupBy("sh").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs")).where("pairs > 0")
+    listed = placed.join(met, "sh").groupBy("rep", "component", "n").agg(
+        F.array_sort(F.collect_list(F.struct("pairs", "sh"))).alias("rising")
+    )
+    # What is left of a set from its i-th shared shingle on; those of its own come before all of them.
+    least = F.ceil(F.col("n") * percent / 100)
+    ahead = listed.select("rep", "component", "n", F.posexplode("rising").alias("i", "s"), (F.size("rising") - F.col("i")).alias("left"))
+    ahead = ahead.where(F.col("left") >= least).select("rep", "component", "n", "left", F.col("s.sh").alias("sh"))
+    ahead = materialize(ahead, "prefixes")
+    one, two = (
+        ahead.select("sh", F.col("rep").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "component", "left"))) for x in "ab"
+    )
+    # An overlap of at least this share of both sizes is what the similarity asks for.
+    enough = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
+    return _right_size(one.join(two, "sh").where("a < b and ca <> cb").where(enough), percent).distinct()
+
+
 def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; see ``near_duplicates`` for the edge cases."""
     own = one_per_id(docs)
@@ -162,11 +200,9 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
         "band", "rep", "n", "pivot", F.coalesce("component", "rep").alias("component")
     )
     mixed_up = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_rows = materialize(placed.where("rep <> pivot").join(mixed_up.select("band"), "band", "left_semi"), "open")
-    one = open_rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = open_rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = one.join(two, "band").where("a < b and ca <> cb")
-    rest = verified(likely(_right_size(across).distinct(), lead), texts, width)
+    open_rows = placed.where("rep <> pivot").join(mixed_up.select("band"), "band", "left_semi")
+    across = across_components(open_rows.select("rep", "component").distinct(), texts, width)
+    rest = verified(likely(across, lead), texts, width)
     found = components(star_links.unionByName(rest)).select(F.col("node").alias("rep"), "component")
 
     return (
