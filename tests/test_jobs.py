@@ -1,6 +1,7 @@
 """Loading, streaming and the daily job: idempotence, late corrections, stream = batch."""
 
 import json
+import shutil
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -14,6 +15,7 @@ from tillcast.plans.daily_batch import ledger, load_all, load_dataset, load_tabl
 from tillcast.plans.oracle import SQL
 from tillcast.plans.queries import REGISTRY
 from tillcast.schemas import BY_ENTITY
+from tillcast.sources import tables as stored_tables
 from tillcast.sources.tables import PART_KEY, Layout, merge_parts, read_parts
 from tillcast.streaming.incremental import current_daily_sales, ingest_orders, run_ingest
 
@@ -74,6 +76,41 @@ def test_merge_empties_a_partition_whose_rows_moved(spark, tmp_path):
     assert rows == {("a", 2, d + timedelta(1)), ("b", 1, d + timedelta(1)), ("c", 1, None)}
 
 
+def test_merge_survives_a_loss_between_delete_and_rename(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "k string, x int, business_date date"
+    d = date(2026, 1, 1)
+    merge_parts(spark, path, spark.createDataFrame([("a", 1, d), ("b", 1, d)], schema), ["k"])
+    batch = spark.createDataFrame([("a", 2, d)], schema)
+
+    def lost(session, at):
+        if (tmp_path / "t" / "_pending" / "_SUCCESS").exists():
+            shutil.rmtree(tmp_path / "t" / f"{PART_KEY}=d2026-01-01")
+            raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(stored_tables, "replay_pending", lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            merge_parts(spark, path, batch, ["k"])
+    merge_parts(spark, path, batch, ["k"])
+    assert {(r.k, r.x) for r in read_parts(spark, path, ["k"]).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_rollup_is_right_after_a_failure_behind_the_merge(spark, tmp_path, zones):
+    raw, out, spec = tmp_path / "raw", str(tmp_path / "out"), BY_ENTITY["orders"]
+    write(raw, "orders", "r1", [order("o1", "2026-08-01T16:00:00Z", 100), order("o2", "2026-08-01T17:00:00Z", 50)])
+    ingest_orders(spark, str(raw), out, spec, zones)
+    write(raw, "orders", "r2", [order("o1", "2026-08-03T16:00:00Z", 100)])
+
+    def fails(touched):
+        raise RuntimeError("lost before the rollup")
+
+    with pytest.raises(Exception, match="lost before the rollup"):
+        run_ingest(spark, str(raw), out, spec, zones, after=fails)
+    ingest_orders(spark, str(raw), out, spec, zones)
+    rows = {r.business_date.day: r.revenue_cents for r in current_daily_sales(spark, out).collect()}
+    assert rows == {1: 50, 3: 100}
+
+
 def test_stream_equals_batch_with_late_corrections(spark, tmp_path, zones):
     raw, out, spec = tmp_path / "raw", str(tmp_path / "out"), BY_ENTITY["orders"]
     stamp = lambda n, h=16: (datetime(2026, 5, 1, h) + timedelta(days=n)).strftime("%Y-%m-%dT%H:%M:%SZ")

@@ -18,6 +18,8 @@ from tillcast.session import materialize
 PART_KEY = "part_key"
 UNDATED = "undated"
 SNAPSHOT = "snapshot"
+# Folders inside a table's that readers skip.
+PENDING, TOUCHED = "_pending", "_touched"
 
 
 @dataclass(frozen=True)
@@ -63,24 +65,54 @@ def write_parts(rows: DataFrame, path: str, parts: DataFrame, spread_by: list[st
         *[F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name != PART_KEY], PART_KEY
     ).select(*rows.columns)
     bucket = F.pmod(F.xxhash64(*spread_by), F.lit(files))
+    # Finished partitions are stored beside the table first, so a run that is lost while they replace the old ones
+    # leaves them to be put in place by the next one.
     (
         rows.unionByName(markers)
         .repartition(PART_KEY, bucket)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .partitionBy(PART_KEY)
-        .parquet(path)
+        .parquet(f"{path}/{PENDING}")
     )
+    replay_pending(rows.sparkSession, path)
+
+
+def _at(spark: SparkSession, path: str):
+    """File system and path object of a name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def replay_pending(spark: SparkSession, path: str) -> None:
+    """Put completed pending partitions in their place; repeating it changes nothing."""
+    files, mark = _at(spark, f"{path}/{PENDING}/_SUCCESS")
+    if files.exists(mark):
+        pending = read_if_present(spark, f"{path}/{PENDING}")
+        if pending is not None:
+            pending.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART_KEY).parquet(path)
+        files.delete(mark, False)
+
+
+def forget_touched(spark: SparkSession, path: str) -> None:
+    """All that depends on the touched partitions is up to date."""
+    files, at = _at(spark, f"{path}/{TOUCHED}")
+    files.delete(at, True)
 
 
 def merge_parts(
-    spark: SparkSession, path: str, batch: DataFrame, keys: list[str], layout: Layout = Layout()
+    spark: SparkSession, path: str, batch: DataFrame, keys: list[str], layout: Layout = Layout(),
+    remember: bool = False,
 ) -> DataFrame:
     """Upsert ``batch`` (one row per key, typed, with business_date) and return the touched partitions.
 
     Touched are the partitions of the batch and those its keys were stored in before, found by reading
     only the key columns. There is no lateness limit. Repeating a merge changes nothing.
+
+    With ``remember`` the touched partitions are stored before the table changes and returned again by later merges
+    until ``forget_touched``: a merge repeated after a failure no longer finds where its keys were before.
     """
+    replay_pending(spark, path)
     newest = materialize(batch.withColumn(PART_KEY, layout.key()), "merge-batch")
     stored = read_parts(spark, path, keys)
     parts = newest.select(PART_KEY)
@@ -94,8 +126,10 @@ def merge_parts(
         # The semi join on the partition column prunes the scan to the touched partitions at run time.
         kept = stored.join(touched, PART_KEY, "left_semi").join(newest.select(*keys), keys, "left_anti")
         rows = kept.select(*newest.columns).unionByName(newest)
+    if remember:
+        touched.write.mode("append").parquet(f"{path}/{TOUCHED}")
     write_parts(rows, path, touched, keys, layout.files)
-    return touched
+    return spark.read.parquet(f"{path}/{TOUCHED}").distinct() if remember else touched
 
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame | None:

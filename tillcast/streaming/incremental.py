@@ -21,6 +21,7 @@ from tillcast.sources.landing import FILE_ORDER, RUN_FILE, parse_lines
 from tillcast.sources.tables import (
     PART_KEY,
     Layout,
+    forget_touched,
     merge_parts,
     merge_dimension,
     read_parts,
@@ -45,7 +46,7 @@ def landed_stream(spark: SparkSession, raw_dir: str, entity: str, files_per_batc
 
 def merge_landed(
     spark: SparkSession, lines: DataFrame, out_dir: str, spec: EntitySpec, zones: Lookup | None,
-    cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(),
+    cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(), remember: bool = False,
 ) -> DataFrame | None:
     """Parse, type and upsert a set of landed lines; the last line of a key wins. Returns the touched partitions
     of a fact table."""
@@ -64,7 +65,7 @@ def merge_landed(
     nested = ("modifiers",) if spec.child else ()
     rows = typed_rows(keyed, spec, zones, cutoff_hour, keep=nested)
     newest = latest_by_key(rows.drop(*nested), list(spec.keys), order).drop(*FILE_ORDER)
-    touched = merge_parts(spark, f"{out_dir}/{spec.table}", newest, list(spec.keys), layout)
+    touched = merge_parts(spark, f"{out_dir}/{spec.table}", newest, list(spec.keys), layout, remember)
     if spec.child:
         # Children are stored under the day of their parent.
         child = _child_rows(rows, spec, "business_date", *FILE_ORDER)
@@ -103,12 +104,14 @@ def run_ingest(
     def apply(batch: DataFrame, batch_id: int) -> None:
         # The line number inside a split; the batch reads each split in order.
         lines = batch.withColumn("_line", F.monotonically_increasing_id())
-        touched = merge_landed(batch.sparkSession, lines, out_dir, spec, zones, layout=layout)
+        touched = merge_landed(batch.sparkSession, lines, out_dir, spec, zones, layout=layout, remember=True)
         _, bad = parse_lines(batch, spec.landing)
         # Each micro-batch owns its folder, so a repeated one replaces its own lines.
         bad.write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{spec.entity}/batch_id={batch_id}")
         if after is not None and touched is not None:
             after(touched)
+        if touched is not None:
+            forget_touched(batch.sparkSession, f"{out_dir}/{spec.table}")
 
     query = (
         landed_stream(spark, raw_dir, spec.entity, files_per_batch)
