@@ -183,6 +183,35 @@ def test_close_fingerprints_are_complete(spark):
     assert got == {(a, b) for a in prints for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
 
 
+def test_near_copies_lie_in_the_radius(spark):
+    """Single changed words leave five-word shingles alike to 0.8; op6's radius finds all that brute force finds."""
+    rng = np.random.default_rng(6)
+    known, texts = fingerprint.WordHashes(), []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(150)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3):
+            copy = list(words)
+            for at in rng.choice(150, changes, replace=False):
+                copy[at] = "other"
+            texts.append(" ".join(copy))
+    prints = [fingerprint.simhash(t, known) for t in texts]
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    got = {(r["query"], r.fingerprint) for r in fingerprint.close_fingerprints(df, df, fingerprint.RADIUS).collect()}
+    apart = {(a, b): (int(a, 16) ^ int(b, 16)).bit_count() for a in prints for b in prints}
+    assert got == {pair for pair, bits in apart.items() if bits <= fingerprint.RADIUS}
+    for group in range(0, len(prints), 4):
+        assert all((prints[group], copy) in got for copy in prints[group + 1 : group + 4])
+
+
+def test_n_near_counts_near_copies(spark, tmp_path):
+    words = [f"w{i}" for i in range(150)]
+    rows = [(100, " ".join(words)), (101, " ".join(words)), (102, " ".join(["new", *words[1:]])), (103, "something else")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.n_near for r in fingerprint.op6_fingerprint(spark, str(tmp_path)).collect()}
+    assert rows == {100: 2, 101: None, 102: None, 103: None}
+
+
 def test_quality_on_the_held_out_fold(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

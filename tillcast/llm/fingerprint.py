@@ -1,9 +1,9 @@
-"""SimHash fingerprints of documents, and the search for close ones in permuted block tables.
+"""SimHash fingerprints of documents, and the search for close ones in block tables.
 
 Each distinct pair of neighbouring words votes with the root of its count on the signed bits of its hash; the
-signs of the sums are the fingerprint. For the search a fingerprint is cut into five blocks. Within a Hamming
-radius of three at least two blocks are untouched, so each of the ten tables that put two blocks first finds
-every fingerprint in the radius that agrees in them.
+signs of the sums are the fingerprint. For the search a fingerprint is cut into six blocks with a table each.
+The radius and one more bit are dealt to the blocks: two fingerprints within a Hamming radius of 21 differ by at most
+three bits in one of four blocks or by at most two in one of the others, so looking up those values finds all.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.hashing import WordHashes, blank_words, mixed, shingle_hashes
 from tillcast.llm.rows import one_per_id, table
-from tillcast.session import materialize
+from tillcast.session import default_parallelism, materialize
 
 BITS = 128
-RADIUS = 3
-BLOCKS = RADIUS + 2
+# The largest distance of near copies (five-word shingles alike to 0.8 or more) measured on the sample tables.
+RADIUS = 21
+# (half, lowest bit, bits) of each block; the key of a block has its number above KEY_BITS.
+BLOCKS = [(0, 0, 21), (0, 21, 21), (1, 0, 21), (1, 21, 21), (0, 42, 22), (1, 42, 22)]
+KEY_BITS = 22
 QUERY_EVERY = 100
 
 
@@ -129,12 +132,6 @@ def _typed(rows: list[tuple], columns=(*_COLUMNS, "part", "is_first", "is_last",
     return frame.astype({"doc_id": "Int64", "n_chars": "Int64"})
 
 
-def _block(number: int) -> Column:
-    digits = BITS // 4
-    cuts = [round(i * digits / BLOCKS) for i in range(BLOCKS + 1)]
-    return F.substring("fingerprint", cuts[number] + 1, cuts[number + 1] - cuts[number])
-
-
 def _halves(prefix: str) -> list[Column]:
     half = BITS // 8
     return [
@@ -142,35 +139,77 @@ def _halves(prefix: str) -> list[Column]:
     ]
 
 
-def close_fingerprints(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, fingerprint) of all distinct fingerprints of ``prints`` within RADIUS of those of ``queries``.
+def _allowances(radius: int) -> list[int]:
+    """Bits that may differ in each block: one more in every block would be more than the radius; -1 leaves a block out."""
+    each, more = divmod(radius + 1, len(BLOCKS))
+    return [each - 1 + (i < more) for i in range(len(BLOCKS))]
 
-    Both have a column fingerprint; equal ones are one entry, so groups of copies stay small. All prints are
-    filed, none is capped; each table joins by equality on its two leading blocks.
-    """
 
-    def filed(df: DataFrame, side: str) -> DataFrame:
-        tables = [F.xxhash64(F.lit(t), _block(x), _block(y)) for t, (x, y) in enumerate(combinations(range(BLOCKS), 2))]
-        distinct = df.select("fingerprint").distinct()
-        return distinct.select(*_halves(side), F.explode(F.array(*tables)).alias("key"))
+def _masks(width: int, most: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which at most ``most`` are set."""
+    chosen = [c for n in range(most + 1) for c in combinations(range(width), n)]
+    return np.array([sum(1 << x for x in c) for c in chosen], np.int64)
 
-    met = filed(queries, "q").join(filed(prints, "p"), "key")
-    apart = F.bit_count(F.col("q0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("p1")))
 
-    def joined(a: str, b: str) -> Column:
-        return F.lower(F.concat(*[F.lpad(F.hex(c), BITS // 8, "0") for c in (a, b)]))
+def _close(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """(q0, q1, p0, p1, docs): each distinct query and print within the radius once, and the rows with that print.
 
-    near = met.where(apart <= RADIUS).select("q0", "q1", "p0", "p1").distinct()
-    return near.select(joined("q0", "q1").alias("query"), joined("p0", "p1").alias("fingerprint"))
+    A print is filed once a block; a query is looked up under every block value within the block's allowance.
+    A pair that meets in several blocks counts in the first one.
+    """
+    allowed = _allowances(radius)
+    used = [(t, half, at, width, most) for t, ((half, at, width), most) in enumerate(zip(BLOCKS, allowed)) if most >= 0]
+    masks = {t: _masks(width, most) for t, _, _, width, most in used}
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q in zip(batch["q0"].tolist(), batch["q1"].tolist()):
+                keys = np.concatenate([
+                    t << KEY_BITS | ((q[half] >> at & (1 << width) - 1) ^ masks[t]) for t, half, at, width, _ in used
+                ])
+                yield pd.DataFrame({"q0": q[0], "q1": q[1], "key": keys})
+
+    keys = [
+        F.shiftrightunsigned(f"p{half}", at).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(t << KEY_BITS)
+        for t, half, at, width, _ in used
+    ]
+    # Dealt by number: there are few queries, but each makes thousands of rows.
+    tasks = default_parallelism(prints.sparkSession)
+    asked = queries.select("fingerprint").distinct().select(*_halves("q")).repartition(tasks, "q0", "q1")
+    counted = prints.groupBy("fingerprint").agg(F.count("*").alias("docs")).select(*_halves("p"), "docs")
+    filed = counted.select("p0", "p1", "docs", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
+    differ = [F.col(f"q{i}").bitwiseXOR(F.col(f"p{i}")) for i in (0, 1)]
+    first = F.lit(None).cast("long")
+    for t, half, at, width, most in reversed(used):
+        block = F.shiftrightunsigned(differ[half], at).bitwiseAND(F.lit((1 << width) - 1))
+        first = F.when(F.bit_count(block) <= most, F.lit(t)).otherwise(first)
+    near = (F.bit_count(differ[0]) + F.bit_count(differ[1]) <= radius) & (first == F.shiftright("key", KEY_BITS))
+    # Spark takes the looked-up values for as few as the queries and would broadcast them.
+    looked = asked.mapInPandas(looked_up, "q0 long, q1 long, key long").hint("merge")
+    met = looked.join(filed, "key")
+    return met.where(near).select("q0", "q1", "p0", "p1", "docs")
+
+
+def _joined(a: str, b: str) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(c), BITS // 8, "0") for c in (a, b)]))
+
+
+def close_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+    """(query, fingerprint) of all distinct fingerprints of ``prints`` within ``radius`` of those of ``queries``.
+
+    Both have a column fingerprint; equal ones are one entry, so groups of copies stay small. All prints are
+    filed, none is capped. The default radius is that of all but equal texts; near copies need RADIUS.
+    """
+    return _close(prints, queries, radius).select(_joined("q0", "q1").alias("query"), _joined("p0", "p1").alias("fingerprint"))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near`` is set for documents whose id is divisible by 100: how many other documents lie in the radius."""
     prints = materialize(fingerprints(table(spark, sf_dir, "documents")), "prints")
     asked = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
-    near = close_fingerprints(prints, prints.where(asked))
-    counted = prints.groupBy("fingerprint").agg(F.count("*").alias("docs"))
-    counts = near.join(counted, "fingerprint").groupBy("query").agg((F.sum("docs") - 1).alias("n_near"))
+    near = _close(prints, prints.where(asked), RADIUS)
+    counts = near.groupBy("q0", "q1").agg((F.sum("docs") - 1).alias("n_near"))
+    counts = counts.select(_joined("q0", "q1").alias("query"), "n_near")
     answers = prints.where(asked).join(counts, F.col("fingerprint") == F.col("query")).select(*_COLUMNS, "n_near")
     others = prints.where(~asked).select(*_COLUMNS, F.lit(None).cast("long").alias("n_near"))
     return answers.unionByName(others)
