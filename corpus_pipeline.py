@@ -19,8 +19,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without their site's boilerplate lines; ``n_chars`` follows the text."""
-    cut = line_dedup.drop_boilerplate(docs)
+    """All documents without their site's boilerplate lines; ``n_chars`` follows the text.
+
+    Copies are still there and count as one page, else a text copied often would be cut from all its copies.
+    """
+    cut = line_dedup.drop_boilerplate(docs, copies_once=True)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 

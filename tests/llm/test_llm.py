@@ -298,3 +298,17 @@ def test_pipeline_keeps_columns_and_applies_decisions(spark):
             assert set(now) == ids
         ids = set(now)
     assert len(ids) > 50
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    """A text on a third of a source's documents is one document afterwards, whole; the source's menu line is gone."""
+    import corpus_pipeline as pipeline
+
+    passage = "\n".join(" ".join(f"p{line}w{i}" for i in range(30)) for line in range(4))
+    rows = [(i, passage) for i in range(20)]
+    rows += [(i, "menu home\n" + " ".join(f"d{i}w{j}" for j in range(60))) for i in range(20, 60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA.split(", score")[0])
+    stages = dict(pipeline.STAGES)
+    cut = pipeline.materialize(stages["lines"](spark, docs, ""), "test-copies")
+    got = {r.doc_id: r.text for r in stages["near_duplicates"](spark, cut, "").collect()}
+    assert got == {0: passage} | {i: t.removeprefix("menu home\n") for i, t in rows if i >= 20}

@@ -26,7 +26,8 @@ def _keys(lines: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """(host, drops): the line hashes that more than ``ratio`` of the host's pages contain.
 
@@ -34,10 +35,19 @@ def boilerplate(
     of all pages is one row per task. ``drops`` cannot be long: its lines' shares of pages add up to at most
     the lines of the host's mean page, so there are fewer than that mean divided by ``ratio``. A line must be
     on ``least_pages`` pages, else every line of a host with few pages would count.
+
+    With ``copies_once``, equal texts of a host are one page, both among the pages of a line and among those of
+    the host: a text that is merely copied often has no boilerplate. Copies are reduced before their lines are
+    taken apart, by partial sums too.
     """
-    pages = docs.select(F.col(host).alias("host"), F.array_distinct(_keys(_lines(F.col(text)))).alias("keys"))
+    pages = docs.select(
+        F.col(host).alias("host"), F.xxhash64(text).alias("same"), F.length(text).alias("size"),
+        F.array_distinct(_keys(_lines(F.col(text)))).alias("keys"),
+    )
+    if copies_once:
+        pages = pages.groupBy("host", "same", "size").agg(F.first("keys").alias("keys"))
     seen = pages.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    total = docs.groupBy(F.col(host).alias("of")).agg(F.count("*").alias("pages"))
+    total = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
     common = seen.where(F.col("n") >= least_pages).join(total, F.col("host").eqNullSafe(F.col("of")))
     return common.where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(
         F.array_sort(F.collect_list("line")).alias("drops")
@@ -45,18 +55,19 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, and the counts ``lines_total`` and ``lines_dropped``.
 
     Every row is judged on its own and kept, repeated rows and rows without an id included; a text that was
-    only boilerplate becomes empty. A null text stays null and has no lines; a null host is a host like any
-    other. Columns already named like the two counts are replaced; all others are passed through.
+    only boilerplate becomes empty. ``copies_once`` says how equal texts count, see ``boilerplate``. A null text
+    stays null and has no lines; a null host is a host like any other. Columns already named like the two counts are replaced; all others are passed through.
 
     The table of boilerplate is stored first, so its size is known: Spark broadcasts it below the session's
     threshold and joins by key, splitting a busy host, above.
     """
-    drops = materialize(boilerplate(docs, host, text, ratio, least_pages), "boilerplate").select(
+    drops = materialize(boilerplate(docs, host, text, ratio, least_pages, copies_once), "boilerplate").select(
         F.col("host").alias("_host"), F.col("drops").alias("_drops")
     )
     rest = [F.col(c) for c in docs.columns if c not in ("lines_total", "lines_dropped", text)]
