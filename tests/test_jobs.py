@@ -11,6 +11,7 @@ from tillcast.functions.trading_day import location_zones
 from tillcast.operators import models, splits
 from tillcast.operators.features import feature_columns
 from tillcast.operators.rollups import daily_sales
+from tillcast.plans import queries
 from tillcast.plans.daily_batch import ledger, load_all, load_dataset, load_tables, run_daily
 from tillcast.plans.oracle import SQL
 from tillcast.plans.queries import REGISTRY
@@ -187,6 +188,19 @@ def test_daily_job_and_model(spark, tmp_path):
     assert abs(back - built["features"].where("split = 'test'").agg(F.sum("sales_lag_1")).first()[0]) < 1e-6
 
 
+def test_uncertainty_query_makes_the_default_refits(spark, monkeypatch):
+    asked = []
+
+    def captured(scaled, columns, refits=models.REFITS, **rest):
+        asked.append(refits)
+        return spark.createDataFrame([], "business_date date, location_id long, model_uncertainty double")
+
+    monkeypatch.setattr(queries, "_scaled", lambda shop: (None, None, []))
+    monkeypatch.setattr(models, "forecast_uncertainty", captured)
+    REGISTRY["forecast_uncertainty"](spark, "/root/testdata/sf0.001")
+    assert asked == [100]
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(REGISTRY)
     assert set(REGISTRY) - set(SQL) == {"model_predictions", "forecast_uncertainty", "explain_forecast"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from math import exp
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tillcast.operators.features import TARGET
 from tillcast.operators.forecast import target_scaler
+from tillcast.session import materialize
 
 TOP_FEATURES = 6
 REFITS = 100
+PARALLEL_REFITS = 8
 SEED = 12345
 
 
@@ -26,6 +29,13 @@ def _with_target(scaled: DataFrame) -> DataFrame:
     ).withColumn("__y", (F.col(TARGET) - F.col("__mean")) / F.col("__std"))
 
 
+def _linear(weight_col: str | None = None) -> LinearRegression:
+    model = LinearRegression(
+        featuresCol="__x", labelCol="__y", predictionCol="__p", regParam=0.01, solver="normal"
+    )
+    return model.setWeightCol(weight_col) if weight_col else model
+
+
 def fit_model(
     scaled: DataFrame, columns: list[str], estimator: str = "linear", seed: int = 42,
     weight_col: str | None = None,
@@ -45,11 +55,7 @@ def fit_model(
         )
     elif estimator == "linear":
         learned = rows.where(F.col("split") == "train")
-        model = LinearRegression(
-            featuresCol="__x", labelCol="__y", predictionCol="__p", regParam=0.01, solver="normal"
-        )
-        if weight_col:
-            model = model.setWeightCol(weight_col)
+        model = _linear(weight_col)
     else:
         raise ValueError(f"unknown estimator {estimator!r}")
     return Pipeline(stages=[assembler, model]).fit(learned)
@@ -83,19 +89,27 @@ def _refit_weight(round_no: int, seed: int) -> Column:
 def forecast_uncertainty(
     scaled: DataFrame, columns: list[str], refits: int = REFITS, seed: int = SEED
 ) -> DataFrame:
-    """Future rows with the population deviation of their prediction over bootstrap refits, in cents."""
-    weighted = scaled.withColumns({f"__w{k}": _refit_weight(k, seed) for k in range(refits)})
+    """Future rows with the population deviation of their prediction over bootstrap refits, in cents.
+
+    The train rows are stored once with their assembled features and all weights, so a refit is one pass over
+    them; refits run side by side.
+    """
+    assembler = VectorAssembler(inputCols=columns, outputCol="__x")
+    weights = {f"__w{k}": _refit_weight(k, seed) for k in range(refits)}
+    train = _with_target(scaled).where(F.col("split") == "train").withColumns(weights)
+    learned = materialize(assembler.transform(train).select("__x", "__y", *weights), "refits")
+    with ThreadPool(PARALLEL_REFITS) as pool:
+        fitted = pool.map(lambda w: _linear(w).fit(learned), weights)
     rows = scaled.where(F.col("split") == "future")
     stats = target_scaler(scaled)
-    out = rows.withColumn("__std", stats.select("std").scalar())
-    for k in range(refits):
-        model = fit_model(weighted, columns, weight_col=f"__w{k}")
-        out = model.transform(out).withColumnRenamed("__p", f"__p{k}").drop("__x")
+    out = assembler.transform(rows.withColumn("__std", stats.select("std").scalar()))
+    for k, model in enumerate(fitted):
+        out = model.setPredictionCol(f"__p{k}").transform(out)
     samples = F.array(*[F.col(f"__p{k}") for k in range(refits)])
     mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / refits
     spread = F.aggregate(samples, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / refits
     return out.withColumn("model_uncertainty", F.sqrt(spread) * F.col("__std")).drop(
-        "__std", *[f"__p{k}" for k in range(refits)]
+        "__std", "__x", *[f"__p{k}" for k in range(refits)]
     )
 
 

@@ -654,7 +654,7 @@ def model_predictions(shop):
 @query
 def forecast_uncertainty(shop):
     _, scaled, columns = _scaled(shop)
-    return models.forecast_uncertainty(scaled, columns, refits=4).select(
+    return models.forecast_uncertainty(scaled, columns).select(
         "business_date", "location_id", F.round("model_uncertainty", 2).alias("model_uncertainty")
     )
 
