@@ -4,10 +4,12 @@ import math
 import statistics
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tillcast.functions.quantiles import exact_quantiles
+from tillcast.functions.ranks import with_rows_before
 from tillcast.operators import dims, features, forecast, normalize, reads, splits, validate
 from tillcast.operators import summary as summaries
 from tillcast.schemas import CATALOG_PAYLOAD, ORDER_PAYLOAD, SHIFT_PAYLOAD
@@ -304,12 +306,25 @@ def test_holiday_distance_against_brute_force(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 9, 95, 100, 101, 2000])
 def test_exact_quantiles(spark, n):
-    import numpy as np
-
     values = [float((i * 7919) % 613) for i in range(n)]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
-    assert np.allclose(exact_quantiles(frame, "v", [0.1, 0.5, 0.9]), np.quantile(values, [0.1, 0.5, 0.9]))
-    assert exact_quantiles(frame.where("v < -1"), "v", [0.1]) == [None]
+    got = exact_quantiles(frame, "v", [0.1, 0.5, 0.9]).first()
+    assert np.allclose(got[1:], np.quantile(values, [0.1, 0.5, 0.9])) and got.n == len(values)
+    assert tuple(exact_quantiles(frame.where("v < -1"), "v", [0.1]).first()) == (0, None)
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 17 == 0 else int(rng.integers(0, 40)) ** 3, 1 + i % 3) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id int, v long, k int")
+    for descending in (False, True):
+        order = sorted(rows, key=lambda r: (r[1] is None, (-1 if descending else 1) * (r[1] or 0), r[0]))
+        got = {r.id: r.before for r in with_rows_before(frame, "v", [F.col("id")], descending=descending).collect()}
+        assert got == {r[0]: at for at, r in enumerate(order)}
+        sums = np.cumsum([0] + [r[2] for r in order])
+        counted = with_rows_before(frame, "v", [F.col("id")], count="k", descending=descending)
+        assert {r.id: r.before for r in counted.collect()} == {r[0]: sums[at] for at, r in enumerate(order)}
+    assert with_rows_before(frame.where("false"), "v").count() == 0
 
 
 def test_scores(spark):

@@ -2,53 +2,35 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-MARGIN = 4.0 / ACCURACY
+from tillcast.functions.ranks import with_rows_before
 
 
-def exact_quantiles(values: DataFrame, column: str, qs: list[float]) -> list[float | None]:
-    """Quantiles with linear interpolation between order statistics; None on no values.
+def exact_quantiles(values: DataFrame, column: str, qs: list[float]) -> DataFrame:
+    """Quantiles with linear interpolation between order statistics: one row (n, q0, q1, ..), nulls without values.
 
-    A bounded sketch brackets each wanted rank within a few parts in 100,000. Everything outside the
-    bracket is only counted, and just the distinct values inside it are ranked. Two passes over the
-    values and one over each bracket; only single numbers reach the driver.
+    Equal values are counted first, so a value that fills a third of the table is one row. The different values
+    get their ranks range by range, and one aggregation picks the two values around every wanted rank. Nothing is
+    evaluated before the result is.
     """
-    rows = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    edges = [min(max(q + side, 0.0), 1.0) for q in qs for side in (-MARGIN, MARGIN)]
-    sketch = rows.agg(
-        F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), ACCURACY).alias("e")
-    ).first()
-    if not sketch["n"]:
-        return [None for _ in qs]
-    brackets = [(sketch["e"][2 * i], sketch["e"][2 * i + 1]) for i in range(len(qs))]
-    outside = rows.agg(*[
-        column
-        for i, (low, high) in enumerate(brackets)
-        for column in (
-            F.count(F.when(F.col("v") < low, 1)).alias(f"below{i}"),
-            F.max(F.when(F.col("v") < low, F.col("v"))).alias(f"prev{i}"),
-            F.min(F.when(F.col("v") > high, F.col("v"))).alias(f"next{i}"),
-        )
-    ]).first()
-    out = []
-    for i, (q, (low, high)) in enumerate(zip(qs, brackets)):
-        below, before, after = outside[f"below{i}"], outside[f"prev{i}"], outside[f"next{i}"]
-        position = q * (sketch["n"] - 1)
-        slot = math.floor(position)
-        ranked = (
-            rows.where(F.col("v").between(low, high))
-            .groupBy("v")
-            .agg(F.count(F.lit(1)).alias("k"))
-            .withColumn("upto", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-        )
-        ranks = (slot + 1, slot + 2)
-        found = ranked.agg(*[F.min(F.when(F.col("upto") + below >= r, F.col("v"))) for r in ranks]).first()
-        # A rank just outside the bracket is the neighbour on that side.
-        a, b = (before if r <= below else (v if v is not None else after) for r, v in zip(ranks, found))
-        out.append(a if b is None else a + (b - a) * (position - slot))
-    return out
+    known = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    counted = known.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    ranked = with_rows_before(counted, "v", count="k").withColumn("total", known.agg(F.count(F.lit(1))).scalar())
+
+    def at(slot: Column) -> Column:
+        """The value whose rows cover the rank ``slot``, from 0."""
+        return F.max(F.when((F.col("before") <= slot) & (slot < F.col("before") + F.col("k")), F.col("v")))
+
+    picked = []
+    for i, q in enumerate(qs):
+        low = F.floor(F.lit(q) * (F.col("total") - 1))
+        picked += [at(low).alias(f"a{i}"), at(F.least(low + 1, F.col("total") - 1)).alias(f"b{i}")]
+    found = ranked.agg(F.coalesce(F.max("total"), F.lit(0)).cast("bigint").alias("n"), *picked)
+
+    def between(i: int, q: float) -> Column:
+        position = F.lit(q) * (F.col("n") - 1)
+        return F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (position - F.floor(position))
+
+    return found.select("n", *[between(i, q).alias(f"q{i}") for i, q in enumerate(qs)])

@@ -85,15 +85,14 @@ def residual_band(
     low: float = LOW_QUANTILE, high: float = HIGH_QUANTILE,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) and population deviation of actual - predicted on the
-    validation split, one row. The two quantiles are computed when this is called.
+    validation split, one row; without validation rows nulls and a count of 0.
     """
     residuals = df.where(F.col("split") == "val").select(
         (F.col(actual_col) - F.col(predicted_col)).cast("double").alias("r")
     )
     ends = exact_quantiles(residuals, "r", [low, high])
-    return residuals.agg(F.stddev_pop("r").alias("std"), F.count("r").alias("n")).select(
-        F.lit(ends[0]).cast("double").alias("low"), F.lit(ends[1]).cast("double").alias("high"), "std", "n"
-    )
+    spread = residuals.agg(F.stddev_pop("r")).scalar()
+    return ends.select(F.col("q0").alias("low"), F.col("q1").alias("high"), spread.alias("std"), "n")
 
 
 def _band_value(band: DataFrame, name: str) -> Column:
