@@ -13,6 +13,7 @@ from tillcast.llm import (
     secret_scan,
     suffix_dedup,
     url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_whitening": whitening.op11_whitening,
 }
 SQL = {
     "op1_license_scan": license_scan.SQL,
