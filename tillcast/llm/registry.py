@@ -10,6 +10,7 @@ from tillcast.llm import (
     line_dedup,
     near_dedup,
     quality,
+    resampling,
     secret_scan,
     suffix_dedup,
     url_filter,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_resampling": resampling.op12_resampling,
 }
 SQL = {
     "op1_license_scan": license_scan.SQL,
@@ -36,4 +38,5 @@ SQL = {
     "op4_secret_scan": secret_scan.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_resampling": resampling.SQL,
 }
