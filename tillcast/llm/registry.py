@@ -6,6 +6,7 @@ from tillcast.llm import (
     bpe,
     decontaminate,
     fingerprint,
+    language_model,
     license_scan,
     line_dedup,
     near_dedup,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_resampling": resampling.op12_resampling,
+    "op13_language_model": language_model.op13_language_model,
 }
 SQL = {
     "op1_license_scan": license_scan.SQL,
