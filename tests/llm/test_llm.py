@@ -244,9 +244,37 @@ def test_bpe_equals_the_library(docs):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         wanted[(i, tuple(ids), tok.decode(ids, skip_special_tokens=False))] += 1
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in rows) == wanted
+    both = bpe.encode(docs.select("doc_id", "text", "words"), path, decoded="words").collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.words) for r in both) == wanted
     encoder = bpe.Encoder(bpe.Vocabulary.load(path))
-    for text in ("ΣΑΣ İ <|endoftext|>a", "x" * 2000, "!!!***" * 99, "\x1c\x85½Ⅷ日本🤣", "'S we'LL", "ß ﬁ K"):
-        assert encoder.encode(text) == tok.encode(text, add_special_tokens=False).ids
+    odd = ["ΣΑΣ İ <|endoftext|>a", "x" * 2000, "!!!***" * 99, "\x1c\x85½Ⅷ日本🤣", "'S we'LL", "ß ﬁ K", "<|endoftext|>", " ", "a"]
+    decoder = bpe.Decoder(bpe.Vocabulary.load(path))
+    for texts in (odd, odd[::-1]):
+        for text, packed in zip(texts, encoder.encode(texts)):
+            found = tok.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(packed, np.int32).tolist() == found
+            assert decoder.decode(found) == tok.decode(found, skip_special_tokens=False)
+
+
+def test_merges_go_lowest_rank_first_and_leftmost():
+    """Trees side by side against a plain search for the best pair, over rows of many lengths."""
+    rng = np.random.default_rng(9)
+    merges = {(0, 1): (2, 3), (1, 0): (0, 4), (0, 0): (3, 5), (3, 3): (1, 6), (4, 3): (4, 7), (5, 5): (5, 8)}
+    rows = [rng.integers(0, 3, n).tolist() for n in [1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 33, 70] for _ in range(6)]
+
+    def plain(row):
+        row = list(row)
+        while True:
+            found = min(((merges[p][0], i) for i, p in enumerate(zip(row, row[1:])) if p in merges), default=None)
+            if found is None:
+                return row
+            i = found[1]
+            row[i : i + 2] = [merges[tuple(row[i : i + 2])][1]]
+
+    flat, lengths, got = np.array(sum(rows, [])), np.array([len(r) for r in rows]), {}
+    for numbers, symbols, counts in bpe.merge_all(flat, lengths, bpe.Merges(merges)):
+        got |= dict(zip(numbers.tolist(), (part.tolist() for part in np.split(symbols, np.cumsum(counts)[:-1]))))
+    assert got == {i: plain(r) for i, r in enumerate(rows)}
 
 
 def removed(texts):
