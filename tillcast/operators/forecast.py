@@ -19,6 +19,7 @@ LOW_QUANTILE, HIGH_QUANTILE = 0.10, 0.90
 MIN_TICKET_CENTS = 100
 HONEST_SPLITS = ("val", "test")
 TINY = 1e-9
+TOP_FEATURES = 6
 
 
 def target_scaler(rows: DataFrame, target: str = TARGET) -> DataFrame:
@@ -141,6 +142,19 @@ def forecast_rows(
     )
 
 
+def next_day_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the earliest future date: of the locations that still trade there (a positive 28-day mean), or of all
+    of them when none does."""
+    day = rows.where(F.col("split") == "future").agg(F.min("business_date")).scalar()
+    tomorrow = rows.where(F.col("split") == "future").withColumn("__day", day).where(
+        F.col("business_date") == F.col("__day")
+    ).drop("__day")
+    trading = tomorrow.agg(F.coalesce(F.max(flag(F.col("sales_roll_mean_28") > 0)), F.lit(0))).scalar()
+    return tomorrow.withColumn("__any", trading).where(
+        (F.col("__any") == 0) | (F.col("sales_roll_mean_28") > 0)
+    ).drop("__any")
+
+
 def next_day_forecast(
     rows: DataFrame, predicted_col: str, band: DataFrame, uncertainty_col: str | None = None
 ) -> DataFrame:
@@ -210,3 +224,40 @@ def test_metrics(scores: DataFrame, verdicts: DataFrame, model: str) -> DataFram
         "model_wins", "beats_all_baselines",
     )
     return block.join(compared, "split")
+
+
+def explain(
+    slopes: list[float], scaled: DataFrame, unscaled: DataFrame, columns: list[str], top: int = TOP_FEATURES
+) -> DataFrame:
+    """The features that moved the given rows' forecast most.
+
+    For a linear model, gradient times input is slope times scaled value, summed over the rows.
+    ``unscaled`` holds the same rows in original units, for display. Money is shown in dollars.
+    """
+    pushed = scaled.agg(*[
+        F.sum(F.col(c).cast("double") * F.lit(w)).alias(c) for c, w in zip(columns, slopes)
+    ])
+    shown = unscaled.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+
+    def long(wide: DataFrame, value: str) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias(value)) for c in columns])
+        return wide.select(F.inline(entries))
+
+    effect = long(pushed, "saliency")
+    total = effect.agg(F.sum(F.abs("saliency"))).scalar()
+    money = F.col("name").startswith("sales_") | F.col("name").startswith("avg_ticket")
+    return (
+        effect.withColumn("__total", total)
+        .where(F.col("__total") > 0)
+        .join(long(shown, "value"), "name")
+        .select(
+            "name",
+            F.bround(F.when(money, F.col("value") / 100).otherwise(F.col("value")), 2).alias("value"),
+            F.bround(F.abs("saliency") / F.col("__total"), 4).alias("contribution"),
+            F.when(F.col("saliency") >= 0, "up").otherwise("down").alias("direction"),
+            F.abs("saliency").alias("__size"),
+        )
+        .orderBy(F.desc("__size"), "name")
+        .limit(top)
+        .drop("__size")
+    )

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from math import exp
-from multiprocessing.pool import ThreadPool
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.operators import ridge
 from tillcast.operators.features import TARGET
-from tillcast.operators.forecast import target_scaler
-from tillcast.session import materialize
-
-TOP_FEATURES = 6
-REFITS = 100
-PARALLEL_REFITS = 8
-SEED = 12345
+from tillcast.operators.forecast import TOP_FEATURES, explain, target_scaler
+from tillcast.operators.ridge import REFITS, SEED
 
 
 def _with_target(scaled: DataFrame) -> DataFrame:
@@ -69,48 +62,12 @@ def predict(model: PipelineModel, scaled: DataFrame, name: str = "predicted") ->
     )
 
 
-def _refit_weight(round_no: int, seed: int) -> Column:
-    """How often a row is drawn in one bootstrap round: a Poisson(1) count from a hash of the row's key,
-    so a refit that is repeated draws the same rows."""
-    bucket = F.pmod(
-        F.xxhash64("business_date", "location_id", F.lit(seed), F.lit(round_no)), F.lit(1_000_000)
-    ) / F.lit(1e6)
-    # Cumulative Poisson(1) probabilities, until the last bucket of the hash lies below one.
-    below, chance = [], exp(-1.0)
-    while not below or below[-1] <= 1 - 1e-6:
-        below.append((below[-1] if below else 0.0) + chance)
-        chance /= len(below)
-    weight = F.lit(float(len(below) - 1))
-    for count in reversed(range(len(below) - 1)):
-        weight = F.when(bucket < below[count], F.lit(float(count))).otherwise(weight)
-    return weight
-
-
 def forecast_uncertainty(
     scaled: DataFrame, columns: list[str], refits: int = REFITS, seed: int = SEED
 ) -> DataFrame:
-    """Future rows with the population deviation of their prediction over bootstrap refits, in cents.
-
-    The train rows are stored once with their assembled features and all weights, so a refit is one pass over
-    them; refits run side by side.
-    """
-    assembler = VectorAssembler(inputCols=columns, outputCol="__x")
-    weights = {f"__w{k}": _refit_weight(k, seed) for k in range(refits)}
-    train = _with_target(scaled).where(F.col("split") == "train").withColumns(weights)
-    learned = materialize(assembler.transform(train).select("__x", "__y", *weights), "refits")
-    with ThreadPool(PARALLEL_REFITS) as pool:
-        fitted = pool.map(lambda w: _linear(w).fit(learned), weights)
-    rows = scaled.where(F.col("split") == "future")
-    stats = target_scaler(scaled)
-    out = assembler.transform(rows.withColumn("__std", stats.select("std").scalar()))
-    for k, model in enumerate(fitted):
-        out = model.setPredictionCol(f"__p{k}").transform(out)
-    samples = F.array(*[F.col(f"__p{k}") for k in range(refits)])
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / refits
-    spread = F.aggregate(samples, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / refits
-    return out.withColumn("model_uncertainty", F.sqrt(spread) * F.col("__std")).drop(
-        "__std", "__x", *[f"__p{k}" for k in range(refits)]
-    )
+    """Future rows with the population deviation of their prediction over bootstrap refits, in cents: one pass over
+    the train rows for all refits, see ``ridge.forecast_uncertainty``."""
+    return ridge.forecast_uncertainty(scaled, columns, refits, seed)
 
 
 def explain_forecast(
@@ -121,31 +78,4 @@ def explain_forecast(
     For a linear model, gradient times input is coefficient times scaled value, summed over the rows.
     ``unscaled`` holds the same rows in original units, for display. Money is shown in dollars.
     """
-    weights = [float(w) for w in model.stages[-1].coefficients]
-    pushed = scaled.agg(*[
-        F.sum(F.col(c).cast("double") * F.lit(w)).alias(c) for c, w in zip(columns, weights)
-    ])
-    shown = unscaled.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-
-    def long(wide: DataFrame, value: str) -> DataFrame:
-        entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias(value)) for c in columns])
-        return wide.select(F.inline(entries))
-
-    effect = long(pushed, "saliency")
-    total = effect.agg(F.sum(F.abs("saliency"))).scalar()
-    money = F.col("name").startswith("sales_") | F.col("name").startswith("avg_ticket")
-    return (
-        effect.withColumn("__total", total)
-        .where(F.col("__total") > 0)
-        .join(long(shown, "value"), "name")
-        .select(
-            "name",
-            F.bround(F.when(money, F.col("value") / 100).otherwise(F.col("value")), 2).alias("value"),
-            F.bround(F.abs("saliency") / F.col("__total"), 4).alias("contribution"),
-            F.when(F.col("saliency") >= 0, "up").otherwise("down").alias("direction"),
-            F.abs("saliency").alias("__size"),
-        )
-        .orderBy(F.desc("__size"), "name")
-        .limit(top)
-        .drop("__size")
-    )
+    return explain([float(w) for w in model.stages[-1].coefficients], scaled, unscaled, columns, top)

@@ -41,14 +41,16 @@ def _from(since: date | str | None) -> Column:
 
 
 def daily_spine(
-    calendar: DataFrame, locations: DataFrame, orders: DataFrame, since: date | str | None = None
+    calendar: DataFrame, locations: DataFrame, orders: DataFrame, since: date | str | None = None,
+    last: date | None = None,
 ) -> DataFrame:
-    """Every calendar date from ``since`` to the last dated order (canceled ones too), per location."""
+    """Every calendar date from ``since`` to the last dated order (canceled ones too), per location. Where ``last``
+    is known the orders are not read for it."""
     first = calendar.agg(F.min("date")).scalar()
     if since is not None:
         first = F.greatest(first, F.lit(str(since)).cast("date"))
-    last = orders.agg(F.max("business_date")).scalar()
-    return dense_spine(calendar, locations, first, last)
+    end = orders.agg(F.max("business_date")).scalar() if last is None else F.lit(last)
+    return dense_spine(calendar, locations, first, end)
 
 
 def customer_first_seen(orders: DataFrame) -> DataFrame:
@@ -159,16 +161,17 @@ def with_ratios(summary: DataFrame) -> DataFrame:
 
 
 def daily_summary(
-    tables: Mapping[str, DataFrame], since: date | str | None = None, first_seen: DataFrame | None = None
+    tables: Mapping[str, DataFrame], since: date | str | None = None, first_seen: DataFrame | None = None,
+    last: date | None = None,
 ) -> DataFrame:
-    """Spine left-joined with every rollup.
+    """Spine left-joined with every rollup; ``first_seen`` and ``last`` may be passed where they are kept.
 
     Every rollup and the spine are hash-partitioned by (business_date, location_id), so the joins add
     no shuffle beyond the one each aggregation needs.
     """
     orders = tables["orders"]
     keep = _from(since)
-    joined = daily_spine(tables["calendar_days"], tables["locations"], orders, since)
+    joined = daily_spine(tables["calendar_days"], tables["locations"], orders, since, last)
     for part in (
         order_rollup(orders, since).withColumn("__open", F.lit(1)),
         new_vs_returning(orders, since, first_seen),

@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions.trading_day import CUTOFF_HOUR, location_zones
+from tillcast.operators import forecast, ridge
 from tillcast.operators.features import assert_no_leakage, feature_columns
+from tillcast.operators.ridge import REFITS
+from tillcast.operators.rollups import DAY
 from tillcast.operators.splits import apply_scaler, feature_table, fit_scaler, manifest_document
-from tillcast.operators.summary import daily_summary
-from tillcast.operators.validate import raise_if_blocked, validation_report
+from tillcast.operators.validate import checked_report, raise_if_blocked, require_trading_days
 from tillcast.schemas import BY_ENTITY, ENTITIES, INSTANT_FIELDS, EntitySpec, field_names
-from tillcast.session import pin_utc
-from tillcast.sources.landing import parse_lines, raw_lines
-from tillcast.sources.tables import PART_KEY, Layout, read_parts, read_dimension, read_if_present
-from tillcast.streaming.incremental import merge_landed
+from tillcast.session import materialize, pin_utc
+from tillcast.sources.landing import judge_lines, landed_files, raw_lines, store_rejected
+from tillcast.sources.tables import (
+    PART_KEY,
+    TOUCHED,
+    Layout,
+    forget_touched,
+    part_keys,
+    read_dimension,
+    read_if_present,
+    read_parts,
+    remembered,
+    trim_parts,
+)
+from tillcast.streaming.derived import FACTS, read_summary, refresh_first_seen, refresh_summary
+from tillcast.streaming.incremental import merge_rows
 
 LEDGER = "ingested_files"
 MIN_TRAIN_ROWS = 30
+MODEL = "model"
 
 
 def ledger(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -34,17 +48,17 @@ def ledger(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def _pending(spark: SparkSession, raw_dir: str, out_dir: str, spec: EntitySpec, force: bool) -> DataFrame | None:
-    """Lines of the files that are not in the ledger yet; None when there are none."""
-    try:
-        lines = raw_lines(spark, raw_dir, spec.entity)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """(path, run) of the files that are not in the ledger yet; None when there are none.
+
+    Files are listed and compared by name, so a run without news opens none of them.
+    """
+    files = landed_files(spark, raw_dir, spec.entity)
+    if files is None:
         return None
     if not force:
-        seen = ledger(spark, out_dir).select(F.col("path").alias("_file"))
-        lines = lines.join(seen, "_file", "left_anti")
-    return None if lines.isEmpty() else lines
+        files = files.join(ledger(spark, out_dir).select("path"), "path", "left_anti")
+    files = materialize(files, "pending")
+    return None if files.isEmpty() else files
 
 
 def empty_table(spark: SparkSession, spec: EntitySpec) -> DataFrame:
@@ -69,13 +83,16 @@ def read_child(spark: SparkSession, out_dir: str, spec: EntitySpec) -> DataFrame
     return None if stored is None else stored.select(*child.columns)
 
 
-def load_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, out_dir: str, parts: bool = False) -> dict[str, DataFrame]:
+    """The stored tables; with ``parts`` facts keep their partition column, so that filters on it can prune."""
     tables = {}
     for spec in ENTITIES:
         path = f"{out_dir}/{spec.table}"
         if spec.is_fact:
             stored = read_parts(spark, path, list(spec.keys))
-            tables[spec.table] = empty_table(spark, spec) if stored is None else stored.drop(PART_KEY)
+            tables[spec.table] = empty_table(spark, spec) if stored is None else stored
+            if not parts:
+                tables[spec.table] = tables[spec.table].drop(PART_KEY)
         else:
             stored = read_dimension(spark, path)
             tables[spec.table] = empty_table(spark, spec) if stored is None else stored
@@ -108,42 +125,65 @@ def load_all(
             zones = location_zones(empty_table(spark, BY_ENTITY["locations"]) if stored is None else stored)
         if only and spec.entity not in only:
             continue
-        lines = _pending(spark, raw_dir, out_dir, spec, force)
-        if lines is None:
+        files = _pending(spark, raw_dir, out_dir, spec, force)
+        if files is None:
             done[spec.entity] = 0
             continue
+        runs = [r["run"] for r in files.select("run").distinct().collect()]  # pulls since the last load, not files
+        new = files.select(F.col("path").alias("_file"))
+        lines = raw_lines(spark, raw_dir, spec.entity, runs).join(new, "_file", "left_semi")
+        # Parsed once: the counts of the ledger, the quarantine and the merge read what is stored here.
+        judged = materialize(judge_lines(lines, spec), "judged")
+        store_rejected(judged, out_dir, spec.entity)
+        merge_rows(spark, judged, out_dir, spec, zones, cutoff_hour, layout, remember=True)
         # Good records per file; a file without any is entered too, so that it is not read again.
-        good = parse_lines(lines, spec.landing)[0].select("_file", F.lit(1).cast("bigint").alias("n"))
-        listed = lines.select("_file", F.lit(0).cast("bigint").alias("n")).unionByName(good)
-        entries = listed.groupBy(F.col("_file").alias("path")).agg(F.sum("n").alias("rows")).select(
-            "path", F.lit(spec.entity).alias("entity"), "rows", F.current_timestamp().alias("loaded_at")
-        )
-        # At most one row per landed file.
-        files = entries.collect()
-        merge_landed(spark, lines, out_dir, spec, zones, cutoff_hour, layout)
-        spark.createDataFrame(files, entries.schema).write.mode("append").parquet(f"{out_dir}/{LEDGER}")
-        done[spec.entity] = sum(row["rows"] for row in files)
+        good = judged.where("_reason is null").groupBy(F.col("_file").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+        entries = materialize(files.join(good, "path", "left").select(
+            "path", F.lit(spec.entity).alias("entity"), F.coalesce("n", F.lit(0)).cast("bigint").alias("rows"),
+            F.current_timestamp().alias("loaded_at"),
+        ), "entries")
+        entries.coalesce(1).write.mode("append").parquet(f"{out_dir}/{LEDGER}")
+        done[spec.entity] = entries.agg(F.sum("rows")).first()[0]
     return done
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
-    """Write summary rows, replacing whole months; months without rows in ``summary`` stay."""
-    (
-        summary.withColumn("month", F.date_format("business_date", "yyyy-MM"))
-        .repartition("month")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
+def retain(spark: SparkSession, out_dir: str, cutoff: date, layout: Layout = Layout()) -> dict[str, int]:
+    """Drop facts dated before ``cutoff`` from the stored tables, with the modifiers of their items; returns how many
+    partitions of each table went. What is derived from them counts as touched until it is refreshed."""
+    gone: dict[str, int] = {}
+    for spec in ENTITIES:
+        if not spec.is_fact:
+            continue
+        path = f"{out_dir}/{spec.table}"
+        stored = read_if_present(spark, path)
+        if stored is None:
+            continue
+        edge = layout.of(cutoff)
+        parts = [(k,) for k in part_keys(stored) if k <= edge]
+        if parts:
+            # Stored before anything is dropped: afterwards the partitions could not be listed any more.
+            spark.createDataFrame(parts, f"{PART_KEY} string").coalesce(1).write.mode("append").parquet(f"{path}/{TOUCHED}")
+        gone[spec.table] = len(trim_parts(spark, path, list(spec.keys), cutoff, layout))
+        if spec.child:
+            child = f"{out_dir}/{spec.child.table}"
+            gone[spec.child.table] = len(trim_parts(spark, child, list(spec.child.keys), cutoff, layout))
+    return gone
 
 
-def build_summary(spark: SparkSession, tables: Mapping[str, DataFrame], out_dir: str, since: date | None = None) -> DataFrame:
-    """Rebuild the summary from ``since`` on, by whole months, and return the stored table."""
-    path = f"{out_dir}/daily_summary"
-    start = since.replace(day=1) if since else None
-    write_summary(daily_summary(tables, start), path)
-    return spark.read.parquet(path).drop("month")
+def refresh_derived(spark: SparkSession, out_dir: str, layout: Layout = Layout()) -> set[str] | None:
+    """Bring first days and summary up to date with all merges since the last time; returns the months rebuilt."""
+    touched: set[str] = set()
+    for table in FACTS:
+        parts = remembered(spark, f"{out_dir}/{table}")
+        if parts is None:
+            continue
+        touched |= {r[0] for r in parts.collect()}  # partitions, not rows
+        if table == "orders":
+            refresh_first_seen(spark, out_dir, parts, layout)
+    months = refresh_summary(spark, load_tables(spark, out_dir, parts=True), out_dir, sorted(touched), layout)
+    for table in FACTS:
+        forget_touched(spark, f"{out_dir}/{table}")
+    return months
 
 
 def build_features(
@@ -177,14 +217,62 @@ def load_dataset(spark: SparkSession, out_dir: str, split: str | None = None) ->
     return rows if split is None else rows.where(F.col("split") == split)
 
 
+def build_forecast(
+    spark: SparkSession, built: Mapping[str, DataFrame], out_dir: str, refits: int = REFITS, history_days: int = 30,
+) -> dict[str, DataFrame]:
+    """Fit, compare with the free guesses, forecast, explain; writes and returns the stored tables.
+
+    The penalty is chosen on the validation split. ``scores`` holds the model beside both baselines on every split,
+    ``verdict`` how it does against each on the test split, ``forecast`` and ``next_day`` the future with its band and
+    spread, ``history`` the days that no fit has seen, ``explanation`` what moved the next day's forecast.
+    """
+    rows, scaled = built["features"], built["dataset"]
+    columns = feature_columns(rows.columns)
+    model = ridge.fit_path(scaled, columns)
+    guess = ridge.predict(model, scaled).select(*DAY, "predicted")
+    spread = ridge.forecast_uncertainty(scaled, columns, refits).select(*DAY, "model_uncertainty")
+    joined = rows.join(guess, DAY).join(spread, DAY, "left")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out_dir}/{name}")
+
+    predictions = stored(joined, "predictions")
+    out = {"penalties": stored(ridge.path_table(scaled, model), "penalties"), "predictions": predictions}
+    named = forecast.BASELINES | {MODEL: "predicted"}
+    out["scores"] = stored(forecast.score(forecast.baseline_predictions(predictions, named)), "scores")
+    out["verdict"] = stored(forecast.verdict(out["scores"], MODEL), "verdict")
+    out["metrics"] = stored(forecast.test_metrics(out["scores"], out["verdict"], MODEL), "metrics")
+    band = stored(forecast.residual_band(predictions), "band")
+    out["forecast"] = stored(forecast.forecast_rows(predictions, "predicted", band, "model_uncertainty"), "forecast")
+    out["next_day"] = stored(forecast.next_day_forecast(predictions, "predicted", band, "model_uncertainty"), "next_day")
+    out["history"] = stored(forecast.forecast_history(predictions, "predicted", history_days), "history")
+    chosen = forecast.next_day_rows(rows).select(*DAY)
+    out["explanation"] = stored(
+        forecast.explain(model.slopes, scaled.join(chosen, DAY, "left_semi"), rows.join(chosen, DAY, "left_semi"), columns),
+        "explanation",
+    )
+    return out
+
+
 def run_daily(
     spark: SparkSession, raw_dir: str, out_dir: str, as_of: date, strict: bool = False,
-    layout: Layout = Layout(),
+    layout: Layout = Layout(), keep_days: int | None = None, refits: int = REFITS,
 ) -> dict[str, DataFrame]:
-    """Load, summarise, check, and build features. Raises when the gate is closed."""
+    """Load, trim, check, summarise, build features, fit and forecast. Raises when the gate is closed.
+
+    With ``keep_days`` facts older than that are dropped from the stored tables. The summary is rebuilt only for the
+    months that the day's changes reach.
+    """
     load_all(spark, raw_dir, out_dir, layout=layout)
+    if keep_days is not None:
+        retain(spark, out_dir, as_of - timedelta(days=keep_days), layout)
     tables = load_tables(spark, out_dir)
-    report = validation_report(tables, as_of, ledger(spark, out_dir), strict)
+    report = checked_report(tables, as_of, ledger(spark, out_dir), strict)
     raise_if_blocked(report)
-    summary = build_summary(spark, tables, out_dir)
-    return {"report": report, "summary": summary, **build_features(spark, tables, summary, out_dir)}
+    require_trading_days(tables["orders"])
+    months = refresh_derived(spark, out_dir, layout)
+    summary = read_summary(spark, out_dir)
+    built = {"report": report, "summary": summary, **build_features(spark, tables, summary, out_dir)}
+    built["months"] = spark.createDataFrame([(m,) for m in sorted(months or [])], "month string")
+    return built | build_forecast(spark, built, out_dir, refits)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tillcast.operators.features import CALENDAR_INPUTS, SAME_DAY_OUTCOMES, WEATHER_INPUTS
 from tillcast.operators.splits import scaled_columns
-from tillcast.plans.oracle_tables import with_parts
+from tillcast.plans import oracle_models
+from tillcast.plans.oracle_tables import PARTS, with_parts
 
 
 def _rounded(source: str, columns: str, digits: int = 4) -> str:
@@ -305,9 +306,9 @@ select name, case when severity = 'warning' then 'error' else severity end sever
 select min(date) run_start, max(date) run_end, count(*) as days from (
   select date, date - cast(row_number() over (order by date) as integer) g
   from d_calendar c, (select min(business_date) a, max(business_date) b from d_orders
-                      where state <> 'CANCELED' and fulfillment_type = 'DELIVERY') s
+                      where state <> 'CANCELED') s
   where date between a and b and not exists (select 1 from d_orders d where d.business_date = c.date
-    and d.state <> 'CANCELED' and d.fulfillment_type = 'DELIVERY')) r
+    and d.state <> 'CANCELED')) r
 group by g""",
     "outlier_days": """
 select business_date, location_id, net_sales_cents
@@ -416,9 +417,23 @@ select order_id, location_id, business_date, business_hour, state, revenue_cents
        item_quantity from d_orders""",
     "stream_upsert": _LATEST_RUN,
     "stream_daily_sales": _SALES,
+    "stream_first_seen": "select * from s_first",
+    "stream_daily_summary": _rounded("s_summary", "labor_hours item_count"),
+    "retention_stored": """
+select cast(year(business_date) as integer) as order_year, count(*) as orders from d_orders
+where business_date is null or business_date >= date '1998-01-01' group by 1""",
+    "validation_isolated": f"""
+select name, severity, cast(ok as integer) passed, cast(v as bigint) as value from ({_CHECKS}) c
+where name <> 'line items linked'
+union all select 'line items linked', 'error', 0, null""",
+    "quarantine_lines": """
+select reason, count(*) as lines from (
+  select case when k % 97 = 0 then 'unreadable' else 'no key' end reason from d_orders_undated
+  where k % 97 = 0 or k % 89 = 0) x group by reason""",
 }
 
 # The inputs never overlap the outcomes of the same day; the contract query relies on it.
 assert not set(INPUTS) & set(SAME_DAY_OUTCOMES)
 
-SQL: dict[str, str] = {name: with_parts(text) for name, text in RAW.items()}
+PARTS.update(oracle_models.PARTS)
+SQL: dict[str, str] = {name: with_parts(text) for name, text in (RAW | oracle_models.RAW).items()}

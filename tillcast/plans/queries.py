@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions.trading_day import business_day
-from tillcast.operators import dims, features, forecast, ingest, models, normalize, reads, rollups, splits
+from tillcast.operators import dims, features, forecast, ingest, models, normalize, reads, ridge, rollups, splits
 from tillcast.operators import summary as summaries
 from tillcast.operators import validate
 from tillcast.plans.daily_batch import ledger, load_all
@@ -30,9 +30,10 @@ from tillcast.schemas import (
 )
 from tillcast.session import materialize, work_dir
 from tillcast.sources import payloads
-from tillcast.sources.landing import land, parse_lines
+from tillcast.sources.landing import land, parse_lines, read_rejected
 from tillcast.sources.sample import AS_OF, SampleShop
-from tillcast.sources.tables import PART_KEY, Layout, read_parts
+from tillcast.sources.tables import PART_KEY, Layout, merge_parts, read_parts, trim_parts
+from tillcast.streaming.derived import read_summary, stored_first_seen
 from tillcast.streaming.incremental import current_daily_sales, ingest_orders, run_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,9 +447,14 @@ def validation_report_strict(shop):
 
 @query
 def zero_sales_runs(shop):
-    """Runs without a sale of the busiest kind (urgent orders), which leaves gaps to find."""
-    urgent = shop.orders.where(F.col("fulfillment_type") == "DELIVERY")
-    return validate.zero_sales_runs(shop.calendar_days, rollups.daily_sales(urgent))
+    return validate.zero_sales_runs(shop.calendar_days, rollups.daily_sales(shop.orders))
+
+
+@query
+def validation_isolated(shop):
+    """The report without the line items: one check cannot run, thirteen do."""
+    tables = {name: df for name, df in shop.tables.items() if name != "order_items"}
+    return validate.checked_report(tables, AS_OF).drop("detail")
 
 
 @query
@@ -645,12 +651,78 @@ def test_metrics(shop):
 
 @query
 def model_predictions(shop):
-    """Spark ML regression against the baselines, on every split."""
+    """Ridge regression on all features, the penalty chosen on the validation split."""
     _, scaled, columns = _scaled(shop)
-    predicted = models.predict(models.fit_model(scaled, columns), scaled)
+    predicted = ridge.predict(ridge.fit_path(scaled, columns), scaled)
     return predicted.select("business_date", "location_id", "split", features.TARGET, "predicted")
 
 
+RIDGE_COLUMNS = ["sales_lag_7", "sales_roll_mean_7"]
+
+
+def _ridge(shop: SampleShop) -> tuple[DataFrame, DataFrame, ridge.Ridge]:
+    """Rows, scaled rows, and the fit on two features, whose equations SQL can solve."""
+    rows, scaled, _ = _scaled(shop)
+    return rows, scaled, ridge.fit_path(scaled, RIDGE_COLUMNS)
+
+
+def _ridge_scores(shop: SampleShop) -> DataFrame:
+    rows, scaled, model = _ridge(shop)
+    guess = ridge.predict(model, scaled).select(*rollups.DAY, "predicted")
+    named = forecast.BASELINES | {"model": "predicted"}
+    return materialize(forecast.score(forecast.baseline_predictions(rows.join(guess, rollups.DAY), named)), "scores")
+
+
+@query
+def ridge_path(shop):
+    """Every penalty with its error on train and validation; the best on validation is chosen."""
+    _, scaled, model = _ridge(shop)
+    return rounded(ridge.path_table(scaled, model), 6).withColumn("penalty", F.col("penalty"))
+
+
+@query
+def ridge_predictions(shop):
+    _, scaled, model = _ridge(shop)
+    return ridge.predict(model, scaled).select(
+        "business_date", "location_id", "split", features.TARGET, F.round("predicted", 2).alias("predicted")
+    )
+
+
+@query
+def ridge_scores(shop):
+    """The model beside both baselines on every split."""
+    return _ridge_scores(shop)
+
+
+@query
+def model_verdict(shop):
+    return forecast.verdict(_ridge_scores(shop), "model")
+
+
+@query
+def model_metrics(shop):
+    scores = _ridge_scores(shop)
+    return forecast.test_metrics(scores, forecast.verdict(scores, "model"), "model")
+
+
+@query
+def ridge_uncertainty(shop):
+    """A hundred bootstrap refits from one pass over the train rows."""
+    _, scaled, _ = _scaled(shop)
+    return ridge.forecast_uncertainty(scaled, RIDGE_COLUMNS).select(
+        "business_date", "location_id", F.round("model_uncertainty", 2).alias("model_uncertainty")
+    )
+
+
+@query
+def ridge_explanation(shop):
+    """What moved the next day's forecast."""
+    rows, scaled, model = _ridge(shop)
+    chosen = forecast.next_day_rows(rows).select(*rollups.DAY)
+    part = [df.join(chosen, rollups.DAY, "left_semi") for df in (scaled, rows)]
+    return forecast.explain(model.slopes, *part, RIDGE_COLUMNS).select("name", "direction", "contribution")
+
+
 @query
 def forecast_uncertainty(shop):
     _, scaled, columns = _scaled(shop)
@@ -661,11 +733,11 @@ def forecast_uncertainty(shop):
 
 @query
 def explain_forecast(shop):
+    """What moved the forecast of the next day, over the locations that trade."""
     rows, scaled, columns = _scaled(shop)
-    future = F.col("split") == "future"
-    return models.explain_forecast(
-        models.fit_model(scaled, columns), scaled.where(future), rows.where(future), columns
-    )
+    chosen = forecast.next_day_rows(rows).select(*rollups.DAY)
+    part = [df.join(chosen, rollups.DAY, "left_semi") for df in (scaled, rows)]
+    return forecast.explain(ridge.fit_path(scaled, columns).slopes, *part, columns)
 
 
 # -- streaming
@@ -678,7 +750,7 @@ def _landing_orders(shop: SampleShop) -> DataFrame:
     )
 
 
-def _stream_orders(shop: SampleShop) -> tuple[str, EntitySpec]:
+def _stream_orders(shop: SampleShop, summary: bool = False) -> tuple[str, EntitySpec]:
     """Orders landed as a first state and a later correction, streamed into tables."""
     root, spec = work_dir(shop.spark, "stream"), BY_ENTITY["orders"]
     orders = _landing_orders(shop)
@@ -689,10 +761,10 @@ def _stream_orders(shop: SampleShop) -> tuple[str, EntitySpec]:
             "created_at": F.date_format(F.date_sub("created_at", 1), payloads.RFC),
         }
     )
-    land(early, f"{root}/raw", "orders", "run1")
-    ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones, layout=YEARS)
-    land(orders, f"{root}/raw", "orders", "run2")
-    ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones, layout=YEARS)
+    others = (lambda: shop.tables) if summary else None
+    for run, rows in (("run1", early), ("run2", orders)):
+        land(rows, f"{root}/raw", "orders", run)
+        ingest_orders(shop.spark, f"{root}/raw", f"{root}/tables", spec, shop.zones, layout=YEARS, others=others)
     return f"{root}/tables", spec
 
 
@@ -722,6 +794,45 @@ def stream_daily_sales(shop):
     return current_daily_sales(shop.spark, tables)
 
 
+@query
+def stream_first_seen(shop):
+    """First days kept as a table through two runs, of which the second moves every order by a day."""
+    tables, _ = _stream_orders(shop, summary=True)
+    return stored_first_seen(shop.spark, tables)
+
+
+@query
+def stream_daily_summary(shop):
+    """The summary kept fresh through the same two runs."""
+    tables, _ = _stream_orders(shop, summary=True)
+    return rounded(read_summary(shop.spark, tables))
+
+
+@query
+def retention_stored(shop):
+    """Orders per year in a stored table after its old partitions were dropped."""
+    root, spec = work_dir(shop.spark, "retention"), BY_ENTITY["orders"]
+    keys = list(spec.keys)
+    merge_parts(shop.spark, f"{root}/orders", shop.orders.drop("k"), keys, YEARS)
+    trim_parts(shop.spark, f"{root}/orders", keys, date.fromisoformat(CUTOFF), YEARS)
+    kept = read_parts(shop.spark, f"{root}/orders", keys)
+    return kept.groupBy(F.year("business_date").alias("order_year")).agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query
+def quarantine_lines(shop):
+    """Orders landed with lines that are cut short and records without a key, loaded twice."""
+    spark, root, spec = shop.spark, work_dir(shop.spark, "rejected"), BY_ENTITY["orders"]
+    k = F.col("k")
+    orders = shop.orders_undated.select("k", "order_id", "location_id", "revenue_cents", "customer_id")
+    body = F.to_json(F.struct(F.when(k % 89 != 0, F.col("order_id")).alias("order_id"), "location_id", "revenue_cents"))
+    text = F.when(k % 97 == 0, F.expr("left(body, length(body) - 9)")).otherwise(F.col("body"))
+    orders.withColumn("body", body).select(text.alias("value")).write.text(f"{root}/raw/orders/orders-run1.jsonl")
+    for _ in range(2):
+        load_all(spark, f"{root}/raw", f"{root}/tables", only=[spec.entity], force=True, layout=YEARS)
+    return read_rejected(spark, f"{root}/tables", "orders").groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def attach_business_day(shop):
     """Trading days of shifts, decided by their start."""

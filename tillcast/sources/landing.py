@@ -9,11 +9,16 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tillcast.functions.columns import iso_date
 from tillcast.schemas import EVENT_CSV, PROMOTION_CSV, SCHOOL_CSV, EntitySpec
+from tillcast.session import materialize
+from tillcast.sources.buckets import read_if_present
 
 CORRUPT = "_corrupt_record"
 # "<entity>-<run>.jsonl", a plain file or a folder of part files.
 RUN_FILE = r"/([^/]+\.jsonl(?:/[^/]+)?)$"
+RUN = r"^([^/]+\.jsonl)"
 FILE_ORDER = ("_file", "_block", "_line")
+QUARANTINE = "_quarantine"
+UNREADABLE, KEYLESS = "unreadable", "no key"
 
 
 def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -33,14 +38,73 @@ def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[D
     return good, bad
 
 
-def raw_lines(reader: SparkSession | DataStreamReader, raw_dir: str, entity: str) -> DataFrame:
-    """Lines of every landed file of an entity with their position: file name, block, line order.
+def judge_lines(lines: DataFrame, spec: EntitySpec) -> DataFrame:
+    """Every line that is not blank with its record, ``_text`` and ``_reason``: why it is not loaded, null if it is.
+
+    A line is unreadable when it is no JSON of the declared types, and without a key when a field of the key is null.
+    """
+    record = F.from_json(
+        "value", f"{spec.landing}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    )
+    extra = [c for c in lines.columns if c != "value"]
+    parsed = lines.where(F.trim("value") != "").select(F.col("value").alias("_text"), *extra, F.inline(F.array(record)))
+    keyless = F.greatest(*[F.col(k).isNull().cast("int") for k in spec.keys], F.lit(0)) == 1
+    reason = F.when(F.col(CORRUPT).isNotNull(), UNREADABLE).when(keyless, KEYLESS)
+    return parsed.withColumn("_reason", reason).drop(CORRUPT)
+
+
+def store_rejected(judged: DataFrame, out_dir: str, entity: str) -> None:
+    """Put the lines that are not loaded into the quarantine: reason, text, and where they stood.
+
+    A file owns its folder there, so loading it again replaces its lines; one that has none any more is left with a
+    marker row without a reason, which readers skip.
+    """
+    path = f"{out_dir}/{QUARANTINE}/{entity}"
+    rejected = judged.where("_reason is not null").select(
+        F.col("_reason").alias("reason"), F.col("_text").alias("line"), F.col("_block").alias("block"),
+        F.col("_line").alias("position"), F.col("_file").alias("file"),
+    )
+    stored = read_if_present(judged.sparkSession, path)
+    if stored is not None:
+        again = judged.select(F.col("_file").alias("file")).distinct()
+        known = materialize(stored.select("file").distinct().join(again, "file", "left_semi"), "quarantined")
+        blank = [F.lit(None).cast(kind).alias(name) for name, kind in rejected.dtypes if name != "file"]
+        rejected = rejected.unionByName(known.select(*blank, "file"))
+    rejected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
+
+
+def read_rejected(spark: SparkSession, out_dir: str, entity: str) -> DataFrame:
+    schema = "reason string, line string, block bigint, position bigint, file string"
+    stored = read_if_present(spark, f"{out_dir}/{QUARANTINE}/{entity}")
+    return spark.createDataFrame([], schema) if stored is None else stored.where("reason is not null")
+
+
+def landed_files(spark: SparkSession, raw_dir: str, entity: str) -> DataFrame | None:
+    """(path, run) of every landed file of an entity; None when nothing has landed.
+
+    The files are listed by tasks and not opened: of a file's row only its name is asked for.
+    """
+    try:
+        listed = spark.read.format("binaryFile").load(f"{raw_dir}/{entity}/{entity}-*.jsonl")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    files = listed.select(F.regexp_extract("path", RUN_FILE, 1).alias("path"))
+    return files.select("path", F.regexp_extract("path", RUN, 1).alias("run"))
+
+
+def raw_lines(
+    reader: SparkSession | DataStreamReader, raw_dir: str, entity: str, runs: list[str] | None = None
+) -> DataFrame:
+    """Lines of the landed files of an entity, or of some runs, with their position: file name, block, line order.
 
     Names carry the run stamp, so (file, block, line) orders all versions of a record from oldest to
     newest. The line number is taken inside the scan, where each split is read in order.
     """
     source = reader if isinstance(reader, DataStreamReader) else reader.read
-    return source.text(f"{raw_dir}/{entity}/{entity}-*.jsonl").select(
+    names = [f"{entity}-*.jsonl"] if runs is None else runs
+    return source.text([f"{raw_dir}/{entity}/{name}" for name in names]).select(
         "value",
         F.regexp_extract("_metadata.file_path", RUN_FILE, 1).alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),

@@ -7,7 +7,7 @@ Corrections have no lateness limit, so there is no watermark on this path.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +15,13 @@ from pyspark.sql import functions as F
 from tillcast.functions.joins import Lookup
 from tillcast.functions.trading_day import CUTOFF_HOUR
 from tillcast.operators.ingest import expand_children, latest_by_key, typed_rows, with_defaults
-from tillcast.operators.rollups import DAY, daily_sales
 from tillcast.schemas import EntitySpec
-from tillcast.sources.landing import FILE_ORDER, RUN_FILE, parse_lines
-from tillcast.sources.tables import (
-    PART_KEY,
-    Layout,
-    forget_touched,
-    merge_parts,
-    merge_dimension,
-    read_parts,
-    write_parts,
-)
+from tillcast.session import materialize
+from tillcast.sources.landing import FILE_ORDER, RUN_FILE, judge_lines, store_rejected
+from tillcast.sources.tables import Layout, forget_touched, merge_dimension, merge_parts, read_parts
+from tillcast.streaming.derived import current_daily_sales, refresh_daily_sales, refresh_first_seen, refresh_summary
 
-ROLLUP = "daily_sales"
+__all__ = ["current_daily_sales", "ingest_orders", "landed_stream", "merge_landed", "merge_rows", "run_ingest"]
 
 
 def landed_stream(spark: SparkSession, raw_dir: str, entity: str, files_per_batch: int = 1000) -> DataFrame:
@@ -49,10 +42,19 @@ def merge_landed(
     cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(), remember: bool = False,
 ) -> DataFrame | None:
     """Parse, type and upsert a set of landed lines; the last line of a key wins. Returns the touched partitions
-    of a fact table."""
-    good, _ = parse_lines(lines, spec.landing)
+    of a fact table. Lines that cannot be read or have no key go to the quarantine."""
+    judged = materialize(judge_lines(lines, spec), "judged")
+    store_rejected(judged, out_dir, spec.entity)
+    return merge_rows(spark, judged, out_dir, spec, zones, cutoff_hour, layout, remember)
+
+
+def merge_rows(
+    spark: SparkSession, judged: DataFrame, out_dir: str, spec: EntitySpec, zones: Lookup | None,
+    cutoff_hour: int = CUTOFF_HOUR, layout: Layout = Layout(), remember: bool = False,
+) -> DataFrame | None:
+    """Upsert the good ones of judged lines; see ``merge_landed``."""
+    keyed = judged.where("_reason is null").drop("_reason", "_text")
     order = [F.col(c) for c in FILE_ORDER]
-    keyed = good.dropna(subset=list(spec.keys))
     if not spec.is_fact:
         rows = typed_rows(keyed, spec, zones, cutoff_hour)
         merge_dimension(spark, f"{out_dir}/{spec.table}", rows, list(spec.keys), list(FILE_ORDER))
@@ -79,18 +81,6 @@ def _child_rows(parents: DataFrame, spec: EntitySpec, *carry: str) -> DataFrame:
     return with_defaults(rows, spec.child.defaults)
 
 
-def refresh_daily_sales(spark: SparkSession, out_dir: str, touched: DataFrame, layout: Layout) -> None:
-    """Recompute the daily rollup of the touched partitions only."""
-    orders = read_parts(spark, f"{out_dir}/orders", ["order_id"])
-    days = orders.join(touched, PART_KEY, "left_semi")
-    rollup = daily_sales(days).withColumn(PART_KEY, layout.key())
-    write_parts(rollup, f"{out_dir}/{ROLLUP}", touched, DAY, files=1)
-
-
-def current_daily_sales(spark: SparkSession, out_dir: str) -> DataFrame:
-    return read_parts(spark, f"{out_dir}/{ROLLUP}", DAY).drop(PART_KEY)
-
-
 def run_ingest(
     spark: SparkSession, raw_dir: str, out_dir: str, spec: EntitySpec, zones: Lookup | None,
     after: Callable[[DataFrame], None] | None = None, files_per_batch: int = 1000,
@@ -105,9 +95,6 @@ def run_ingest(
         # The line number inside a split; the batch reads each split in order.
         lines = batch.withColumn("_line", F.monotonically_increasing_id())
         touched = merge_landed(batch.sparkSession, lines, out_dir, spec, zones, layout=layout, remember=True)
-        _, bad = parse_lines(batch, spec.landing)
-        # Each micro-batch owns its folder, so a repeated one replaces its own lines.
-        bad.write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{spec.entity}/batch_id={batch_id}")
         if after is not None and touched is not None:
             after(touched)
         if touched is not None:
@@ -123,11 +110,22 @@ def run_ingest(
     query.awaitTermination()
 
 
-def ingest_orders(spark: SparkSession, raw_dir: str, out_dir: str, spec: EntitySpec, zones: Lookup,
-                  files_per_batch: int = 1000, layout: Layout = Layout()) -> None:
-    """Orders with a rollup that is always fresh."""
-    run_ingest(
-        spark, raw_dir, out_dir, spec, zones,
-        after=lambda touched: refresh_daily_sales(spark, out_dir, touched, layout),
-        files_per_batch=files_per_batch, layout=layout,
-    )
+def ingest_orders(
+    spark: SparkSession, raw_dir: str, out_dir: str, spec: EntitySpec, zones: Lookup,
+    files_per_batch: int = 1000, layout: Layout = Layout(),
+    others: Callable[[], Mapping[str, DataFrame]] | None = None,
+) -> None:
+    """Orders with a rollup that is always fresh.
+
+    With ``others``, which gives the other tables of the summary, the customers' first days and the daily summary are
+    kept fresh as well: of the summary the months that a micro-batch reaches, not only those it touches.
+    """
+
+    def refresh(touched: DataFrame) -> None:
+        refresh_daily_sales(spark, out_dir, touched, layout)
+        if others is not None:
+            refresh_first_seen(spark, out_dir, touched, layout)
+            tables = dict(others()) | {"orders": read_parts(spark, f"{out_dir}/{spec.table}", list(spec.keys))}
+            refresh_summary(spark, tables, out_dir, [r[0] for r in touched.collect()], layout)
+
+    run_ingest(spark, raw_dir, out_dir, spec, zones, after=refresh, files_per_batch=files_per_batch, layout=layout)
