@@ -49,13 +49,13 @@ def test_scores_equal_brute_force(docs, monkeypatch, known, share):
     inside = {w: classes[at] for w, at in vocabulary.heads.items()} | {b"": lm.END}
     outside = {w: n for w, n in c.items() if inside.get(w, lm.OTHER) == lm.OTHER}
     rest = sum(outside.values()) + 0.1 * (len(outside) + 1)
-    normaliser = model.log_normaliser()
+    scorer = lm.Scorer(model, model.log_normaliser())
 
     def logs(text):
         one = two = lm.END
         for w in words(text):
             k = inside.get(w, lm.OTHER)
-            part = model.log_probabilities(np.array([k]), [np.array([one]), np.array([two])], normaliser)[0] / np.log(10)
+            part = scorer.logs(np.array([k]), [np.array([one]), np.array([two])])[0] / np.log(10)
             yield part + (log10((c[w] + 0.1) / rest) if k == lm.OTHER else 0.0)
             one, two = k, one
 
@@ -72,9 +72,9 @@ def test_scores_equal_brute_force(docs, monkeypatch, known, share):
 
 def test_probabilities_add_up_to_one(docs):
     _, vocabulary, model = learned(docs)
-    normaliser, rng, m = model.log_normaliser(), np.random.default_rng(3), model.m
+    scorer, rng, m = lm.Scorer(model, model.log_normaliser()), np.random.default_rng(3), model.m
     for one, two in rng.integers(0, m, (20, 2)):
-        each = model.log_probabilities(np.arange(m), [np.full(m, one), np.full(m, two)], normaliser)
+        each = scorer.logs(np.arange(m), [np.full(m, one), np.full(m, two)])
         assert np.exp(each).sum() == pytest.approx(1, abs=1e-4)
     known = vocabulary.counts[: vocabulary.known]
     others = vocabulary.total - known.sum() + 0.1 * (vocabulary.different - vocabulary.known + 1)
@@ -89,8 +89,8 @@ def test_noise_contrast_learns_what_follows():
     before = lm._before(target, np.array([0, len(target)]))
     rng = np.random.default_rng(1)
     for _ in range(60):
-        model.learn(target, before, rng.integers(0, 4, 64))
-    logs = model.log_probabilities(target, before, model.log_normaliser())
+        model.learn(target, before, rng.integers(0, 4, 64), np.ones(len(target), np.float32))
+    logs = lm.Scorer(model, model.log_normaliser()).logs(target, before)
     assert np.exp(logs[3:]).mean() > 0.9
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,12 @@ from tillcast.llm.rows import table
 from tillcast.session import materialize
 
 MODEL_WORDS = 2048
-WIDTH = 32
+WIDTH = 20
 CONTEXT = 2
 HEAD_SHARE = 2e-6
 ROUNDS = 4
 NOISE = 64
-BATCH = 1024
+BATCH = 512
 RATE = 0.1
 FOLDS = 10
 SMOOTH = 0.1
@@ -92,7 +92,8 @@ class Parameters:
     """Vectors of the context words, of the predicted words with their bias, and the matrices of the distances.
 
     All are rows of one table: ``rows[:m]`` and ``rows[m:2m]`` belong to the words, the rest are the matrices. ``squares``
-    adds up squared gradients, ``used`` how often a row took part since the last round.
+    adds up the mean squared gradient of each row and that of its bias, ``used`` how often a row took part since the
+    last round.
     """
 
     rows: np.ndarray
@@ -110,16 +111,12 @@ class Parameters:
             rows[2 * m + i * WIDTH : 2 * m + (i + 1) * WIDTH, :WIDTH] = np.eye(WIDTH) / (i + 1)
         log_noise = np.log(shares).astype(np.float32)
         rows[m : 2 * m, WIDTH] = log_noise
-        return cls(rows, np.ones_like(rows), log_noise)
+        return cls(rows, np.ones((len(rows), 2), np.float32), log_noise)
 
     @property
     def m(self) -> int:
         return len(self.log_noise)
 
-    @property
-    def context(self) -> np.ndarray:
-        return self.rows[: self.m, :WIDTH]
-
     @property
     def words(self) -> np.ndarray:
         return self.rows[self.m : 2 * self.m, :WIDTH]
@@ -131,64 +128,96 @@ class Parameters:
     def matrix(self, distance: int) -> np.ndarray:
         return self.rows[2 * self.m + distance * WIDTH :][:WIDTH, :WIDTH]
 
-    def _descend(self, at: np.ndarray, gradient: np.ndarray) -> None:
-        """One step for the rows ``at``, each listed once."""
-        self.squares[at] += gradient * gradient
-        self.rows[at] -= RATE * gradient / np.sqrt(self.squares[at])
-
-    def learn(self, target: np.ndarray, before: list[np.ndarray], noise: np.ndarray) -> None:
-        """Tell each target from the noise words, which all targets of the batch share."""
-        m = self.m
-        seen = [self.context[c] for c in before]
-        h = sum(v @ self.matrix(i) for i, v in enumerate(seen))
-        right, wrong = self.words[target], self.words[noise]
-        offset = np.log(len(noise))
-        g = _logistic((h * right).sum(1) + self.bias[target] - offset - self.log_noise[target]) - 1
-        gn = _logistic(h @ wrong.T + self.bias[noise] - offset - self.log_noise[noise])
-        dh = g[:, None] * right + gn @ wrong
-        words = np.concatenate([np.hstack([h * g[:, None], g[:, None]]), np.hstack([gn.T @ h, gn.sum(0)[:, None]])])
-        steps = [_summed(np.concatenate([m + target, m + noise]), words)]
-        steps.append(_summed(np.concatenate(before), _wide(np.concatenate([dh @ self.matrix(i).T for i in range(CONTEXT)]))))
-        steps += [
-            (np.arange(2 * m + i * WIDTH, 2 * m + (i + 1) * WIDTH), _wide(v.T @ dh), len(target)) for i, v in enumerate(seen)
-        ]
-        for at, gradient, times in steps:
+    def mapped(self) -> list[np.ndarray]:
+        """What each context word adds at each distance."""
+        return [self.rows[: self.m, :WIDTH] @ self.matrix(i) for i in range(CONTEXT)]
+
+    def _descend(self, at: np.ndarray, gradient: np.ndarray, bias: np.ndarray | None = None) -> None:
+        """One step for the rows ``at``, each listed once; the last column of ``gradient`` is the bias's, if any."""
+        part = gradient[:, :WIDTH]
+        squares = self.squares[at]
+        squares[:, 0] += np.einsum("ij,ij->i", part, part) / WIDTH
+        step = np.empty((len(at), WIDTH + 1), np.float32)
+        step[:, :WIDTH] = part / np.sqrt(squares[:, :1])
+        if bias is None:
+            step[:, WIDTH] = 0
+        else:
+            squares[:, 1] += bias * bias
+            step[:, WIDTH] = bias / np.sqrt(squares[:, 1])
+        self.squares[at] = squares
+        self.rows[at] -= RATE * step
+
+    def learn(self, target: np.ndarray, before: list[np.ndarray], noise: np.ndarray, times: np.ndarray) -> None:
+        """Tell each target, which stands ``times`` times after its context, from the noise words of the batch."""
+        m, rows = self.m, self.rows
+        seen = [rows[c][:, :WIDTH] for c in before]
+        h = seen[0] @ self.matrix(0) + seen[1] @ self.matrix(1)
+        right, wrong = rows[m + target], rows[m + noise]
+        offset = np.log(np.float32(len(noise)))
+        g = np.einsum("ij,ij->i", h, right[:, :WIDTH]) + right[:, WIDTH] - offset - self.log_noise[target]
+        g = (_logistic(g) - 1) * times
+        gn = _logistic(h @ wrong[:, :WIDTH].T + (wrong[:, WIDTH] - offset - self.log_noise[noise])) * times[:, None]
+        dh = g[:, None] * right[:, :WIDTH] + gn @ wrong[:, :WIDTH]
+        words = np.empty((len(target) + len(noise), WIDTH + 1), np.float32)
+        words[: len(target), :WIDTH] = h * g[:, None]
+        words[: len(target), WIDTH] = g
+        words[len(target) :, :WIDTH] = gn.T @ h
+        words[len(target) :, WIDTH] = gn.sum(0)
+        at, gradient, used = _summed(np.concatenate([target, noise]), words)
+        contexts = _summed(np.concatenate(before), np.concatenate([dh @ self.matrix(i).T for i in range(CONTEXT)]))
+        matrices = [v.T @ dh for v in seen]
+        self._descend(m + at, gradient, gradient[:, WIDTH])
+        self.used[m + at] += used
+        self._descend(contexts[0], contexts[1])
+        self.used[contexts[0]] += contexts[2]
+        for i, gradient in enumerate(matrices):
+            at = np.arange(2 * m + i * WIDTH, 2 * m + (i + 1) * WIDTH)
             self._descend(at, gradient)
-            self.used[at] += times
+            self.used[at] += len(target)
 
     def log_normaliser(self) -> np.ndarray:
         """Logarithm of the sum over all words, for every pair (previous word, the one before it)."""
-        parts = [(self.context @ self.matrix(i) @ self.words.T).astype(np.float64) for i in range(CONTEXT)]
+        parts = [(v @ self.words.T).astype(np.float64) for v in self.mapped()]
         tops = [p.max(1) for p in parts]
         near, far = (np.exp(p - t[:, None]) for p, t in zip(parts, tops))
         near *= np.exp(self.bias.astype(np.float64))
         return (np.log(near @ far.T) + tops[0][:, None] + tops[1]).astype(np.float32)
 
-    def log_probabilities(self, target: np.ndarray, before: list[np.ndarray], normaliser: np.ndarray) -> np.ndarray:
+
+class Scorer:
+    """Natural logarithms of the probabilities that a model gives to classes after their contexts."""
+
+    def __init__(self, model: Parameters, normaliser: np.ndarray):
+        self.near, self.far = model.mapped()
+        self.words, self.bias = np.ascontiguousarray(model.words), np.ascontiguousarray(model.bias)
+        self.normaliser = normaliser
+
+    def logs(self, target: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(target))
         for at in range(0, len(target), TOKENS):
             part = slice(at, at + TOKENS)
-            h = sum(self.context[c[part]] @ self.matrix(i) for i, c in enumerate(before))
-            s = np.einsum("ij,ij->i", h, self.words[target[part]]) + self.bias[target[part]]
-            out[part] = s.astype(np.float64) - normaliser[before[0][part], before[1][part]]
+            one, two, word = before[0][part], before[1][part], target[part]
+            s = np.einsum("ij,ij->i", self.near[one] + self.far[two], self.words[word]) + self.bias[word]
+            out[part] = s.astype(np.float64) - self.normaliser[one, two]
         return out
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _wide(gradient: np.ndarray) -> np.ndarray:
-    """A gradient of vectors, with a zero in the place of the bias."""
-    return np.hstack([gradient, np.zeros((len(gradient), 1), gradient.dtype)])
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _summed(at: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different rows, the sum of their gradients, and how many gradients each had."""
     order = np.argsort(at, kind="stable")
     ranked = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return ranked[starts], np.add.reduceat(gradients[order], starts), np.diff(np.append(starts, len(at)))
+    lasts = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]), len(at) - 1)
+    upto = np.cumsum(gradients[order], axis=0, dtype=np.float64)[lasts]
+    upto[1:] -= upto[:-1].copy()
+    return ranked[lasts], upto.astype(np.float32), np.diff(lasts, prepend=-1)
 
 
 @dataclass(frozen=True)
@@ -250,7 +279,7 @@ def _tokens(texts: list[bytes | None], heads: dict[bytes, int]) -> tuple[list[li
     for part in words:
         found += map(heads.get, part, repeat(-1))
         found.append(END)
-    return words, np.array(found, np.int64), starts
+    return words, np.array(found, np.int32).astype(np.int64), starts
 
 
 def _before(classes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -282,12 +311,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: st
                 for at in range(0, batch.num_rows, ROWS):
                     _, found, starts = _tokens(batch.column(0).slice(at, ROWS).to_pylist(), heads.value)
                     target = classes[found]
-                    before = _before(target, starts)
-                    order = rng.permutation(len(target))
+                    one, two = _before(target, starts)
+                    # Equal words in equal contexts are one step with their number as weight.
+                    kinds, times = np.unique((two * mine.m + one) * mine.m + target, return_counts=True)
+                    order = rng.permutation(len(kinds))
+                    kinds, times = kinds[order], times[order].astype(np.float32)
                     for first in range(0, len(order), BATCH):
-                        part = order[first : first + BATCH]
+                        part = kinds[first : first + BATCH]
                         noise = np.minimum(np.searchsorted(limits, rng.random(NOISE) * limits[-1]), len(limits) - 1)
-                        mine.learn(target[part], [c[part] for c in before], noise)
+                        pair, word = np.divmod(part, mine.m)
+                        mine.learn(word, [pair % mine.m, pair // mine.m], noise, times[first : first + BATCH])
             blocks = range(0, len(rows), BLOCK)
             moved = (mine.rows - rows) * mine.used[:, None].astype(np.float32)
             yield pa.RecordBatch.from_arrays([
@@ -309,7 +342,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: st
             used = np.frombuffer(r["used"])
             moved = np.frombuffer(r["moved"], np.float32).reshape(-1, width)
             model.rows[at] += moved / np.maximum(used, 1)[:, None].astype(np.float32)
-            model.squares[at] += np.frombuffer(r["squares"], np.float32).reshape(-1, width)
+            model.squares[at] += np.frombuffer(r["squares"], np.float32).reshape(-1, 2)
     return model
 
 
@@ -347,14 +380,15 @@ def score(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, log_noise, normaliser = shared.value
-        mine, numbers = Parameters(rows, None, log_noise), heads.value
+        scorer, numbers = Scorer(Parameters(rows, None, log_noise), normaliser), heads.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 words, found, starts = _tokens(part.column(1).to_pylist(), numbers)
                 target = classes[found]
-                logs = mine.log_probabilities(target, _before(target, starts), normaliser) / np.log(10) + inside[found]
-                rare = [Counter(w for w, h in zip(ws, found[s:].tolist()) if h < 0) for ws, s in zip(words, starts)]
+                logs = scorer.logs(target, _before(target, starts)) / np.log(10) + inside[found]
+                none = found < 0
+                rare = [Counter(compress(ws, none[s:e].tolist())) for ws, s, e in zip(words, starts, starts[1:])]
                 ends = np.cumsum([0, *map(len, rare)])
                 flat = pa.StructArray.from_arrays([
                     pa.array([w for r in rare for w in r], pa.binary()),
