@@ -23,6 +23,7 @@ from tillcast.operators.rollups import (
 LUNCH = (11, 16)
 DINNER = (16, 22)
 
+# Names of the summary's columns.
 SUMMARY_COLUMNS = (
     "business_date", "location_id", "is_closed", "order_count", "revenue_cents",
     "net_sales_cents", "discount_cents", "tax_cents", "tip_cents", "service_charge_cents",

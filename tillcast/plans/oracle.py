@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from tillcast.operators.features import CALENDAR_INPUTS, SAME_DAY_OUTCOMES, WEATHER_INPUTS
-from tillcast.operators.splits import scaled_columns
 from tillcast.plans import oracle_models
-from tillcast.plans.oracle_tables import PARTS, with_parts
+from tillcast.plans.oracle_tables import CONTEXT, PARTS, with_parts
 
 
 def _rounded(source: str, columns: str, digits: int = 4) -> str:
@@ -13,9 +11,9 @@ def _rounded(source: str, columns: str, digits: int = 4) -> str:
     return f"select * replace ({swaps}) from {source}"
 
 
-# The 68 inputs in table order.
+# The 68 inputs.
 INPUTS = (
-    *CALENDAR_INPUTS, *WEATHER_INPUTS,
+    "day_of_year", *CONTEXT,
     "event_count", "event_attendance", "sports_events", "nearest_event_miles",
     "promotion_count", "promotion_spend_usd", "max_percent_off", "has_facebook_ads", "has_delivery_promo",
     "dow_sin", "dow_cos", "month_sin", "month_cos", "doy_sin", "doy_cos", "days_to_holiday", "days_since_holiday",
@@ -29,7 +27,7 @@ _FLOATS = (
     "labor_hours_lag_7 sales_roll_mean_7 sales_roll_mean_28 sales_roll_std_7 same_dow_mean_4 momentum_7_28 "
     "dow_sin dow_cos month_sin month_cos doy_sin doy_cos temp_vs_normal_f labor_hours item_count"
 )
-_SCALED = scaled_columns(list(INPUTS))
+_SCALED = [c for c in INPUTS if not c.startswith(("is_", "has_", "promotion_active"))]
 _RFC = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 
 _STATS = "\nunion all\n".join(
@@ -53,38 +51,48 @@ _HUMIDITY = """(select case when ep % 40 = 0 then 'forecast' else 'archive' end
   from (select date, date - date '1970-01-01' ep, unnest(generate_series(0, 23)) h from d_weather) x
   where (ep + h) % 11 <> 0 group by 1, 2)"""
 
-_CHECKS = """
-select 'orders present' as name, 'error' severity, count(*) > 0 ok, count(*) v from d_orders
-union all select 'business dates', 'error', count(*) = 0, count(*) from d_orders where business_date is null
-union all select 'money non-negative', 'error', count(*) = 0, count(*) from d_orders
-  where revenue_cents < 0 or tax_cents < 0
-union all select 'totals reconcile', 'error', count(*) = 0, count(*) from d_orders
-  where abs(net_sales_cents - (revenue_cents - tax_cents - tip_cents)) > 1
-union all select 'no future orders', 'error', count(*) = 0, count(*) from d_orders
-  where business_date > date '2001-08-01' + 1
-union all select 'history length', case when count(*) = 0 then 'error' else 'warning' end, count(*) >= 60, count(*)
-  from v_sales
-union all select 'calendar coverage', 'error', count(*) = 0, count(*) from v_sales d
-  where not exists (select 1 from d_calendar c where c.date = d.business_date)
-union all select 'weather coverage', 'warning', count(*) * 100.0 / (select count(*) from v_sales) < 5, count(*)
-  from v_sales d where not exists (select 1 from d_weather w where w.date = d.business_date)
-union all select 'weather is observed', 'warning', count(*) = 0, count(*)
-  from d_weather w join v_sales d on d.business_date = w.date
-  where w.source = 'forecast' and w.date < date '2001-08-01' - 6
-union all select 'calendar continuity', 'error', count(*) >= max(b - a) + 1, max(b - a) + 1 - count(*)
-  from d_calendar, (select min(business_date) a, max(business_date) b from v_sales) s where date between a and b
-union all select 'no long closures', 'warning', coalesce(max(days), 0) <= 2, coalesce(max(days), 0) from (
-  select count(*) as days from (
-    select date, date - cast(row_number() over (order by date) as integer) g
-    from d_calendar c, (select min(business_date) a, max(business_date) b from v_sales) s
-    where date between a and b and not exists (select 1 from v_sales d where d.business_date = c.date)) r
-  group by g) q
-union all select 'line items linked', 'warning', count(*) = 0, count(*) from d_order_items i
-  where not exists (select 1 from d_orders o where o.order_id = i.order_id)
-union all select 'daily outliers', 'warning', count(*) = 0, count(*)
-  from v_sales, (select avg(net_sales_cents) m, stddev_pop(net_sales_cents) s from v_sales) x
-  where abs(net_sales_cents - m) > 5 * s
-union all select 'raw files loaded', 'info', true, 0"""
+# The checks as one row of counts, and the counts turned into rows.
+_COUNTS = """
+select * from
+  (select count(*) orders, count(*) filter (business_date is null) undated,
+          count(*) filter (least(revenue_cents, tax_cents) < 0) negative,
+          count(*) filter (net_sales_cents not between revenue_cents - tax_cents - tip_cents - 1
+                                                   and revenue_cents - tax_cents - tip_cents + 1) apart,
+          count(*) filter (business_date >= date '2001-08-03') ahead from d_orders),
+  (select count(*) trading, count(*) filter (day_of_week is null) off_calendar, count(*) filter (source is null) no_weather,
+          count(*) filter (source = 'forecast' and business_date <= date '2001-07-25') stale,
+          count(*) filter (abs(net_sales_cents - mean) > 5 * deviation) odd
+   from v_sales left join x_dates on date = business_date,
+        (select avg(net_sales_cents) mean, stddev_pop(net_sales_cents) deviation from v_sales)),
+  (select max(business_date) - min(business_date) + 1 reach from v_sales),
+  (select count(*) present from x_dates
+   where date between (select min(business_date) from v_sales) and (select max(business_date) from v_sales)),
+  (select coalesce(max(next - business_date - 1), 0) closed
+   from (select business_date, lead(business_date) over (order by business_date) next from (select distinct business_date from v_sales))),
+  (select count(*) loose from d_order_items anti join d_orders using (order_id)),
+  (select count(*) unpaid from d_payments anti join d_orders using (order_id)),
+  (select count(*) no_weather_days from v_sales anti join d_weather on date = business_date)"""
+# name -> (severity, passes, value)
+_RULES = {
+    "orders present": ("'error'", "orders > 0", "orders"),
+    "business dates": ("'error'", "undated = 0", "undated"),
+    "money non-negative": ("'error'", "negative = 0", "negative"),
+    "totals reconcile": ("'error'", "apart = 0", "apart"),
+    "no future orders": ("'error'", "ahead = 0", "ahead"),
+    "history length": ("if(trading = 0, 'error', 'warning')", "trading >= 60", "trading"),
+    "calendar coverage": ("'error'", "off_calendar = 0", "off_calendar"),
+    "weather coverage": ("'warning'", "coalesce(no_weather_days * 100.0 / nullif(trading, 0), 0) < 5", "no_weather_days"),
+    "weather is observed": ("'warning'", "stale = 0", "stale"),
+    "calendar continuity": ("'error'", "present >= coalesce(reach, 0)", "coalesce(reach, 0) - present"),
+    "no long closures": ("'warning'", "closed <= 2", "closed"),
+    "line items linked": ("'warning'", "loose = 0", "loose"),
+    "daily outliers": ("if(trading >= 10, 'warning', 'info')", "trading < 10 or odd = 0", "if(trading >= 10, odd, 0)"),
+    "raw files loaded": ("'info'", "true", "0"),
+}
+_CHECKS = "select unnest([" + ", ".join(
+    f"{{'name': '{name}', 'severity': {severity}, 'ok': {passes}, 'v': ({value})::bigint}}"
+    for name, (severity, passes, value) in _RULES.items()
+) + f"], recursive := true) from ({_COUNTS}) counted"
 
 _LATEST_RUN = """select order_id, line_item_uid, item_name, quantity, total_cents from (
   select 'Dish ' || (l_partkey % 64) item_name, cast(l_orderkey as varchar) order_id,
@@ -281,17 +289,11 @@ select item_name, category_name, sum(quantity) quantity, cast(sum(revenue_cents)
 from v_item_sales where business_date >= (select max(business_date) from v_item_sales) - 30
 group by item_name, category_name
 order by quantity desc, item_name nulls last, category_name nulls last limit 20""",
-    "data_quality": """
-select 'days in range' metric, count(*) as value from d_calendar
-  where date between (select min(business_date) from v_sales) and (select max(business_date) from v_sales)
-union all select 'days with sales', count(*) from v_sales
-union all select 'days missing weather', count(*) from v_sales d
-  where not exists (select 1 from d_weather w where w.date = d.business_date)
-union all select 'orders without business_date', count(*) from d_orders where business_date is null
-union all select 'order items without an order', count(*) from d_order_items i
-  where not exists (select 1 from d_orders o where o.order_id = i.order_id)
-union all select 'payments without an order', count(*) from d_payments
-  where order_id is null or order_id not in (select order_id from d_orders)""",
+    "data_quality": "select unnest([" + ", ".join(f"{{'metric': '{name}', 'value': {value}}}" for name, value in {
+        "days in range": "present", "days with sales": "trading", "days missing weather": "no_weather_days",
+        "orders without business_date": "undated", "order items without an order": "loose",
+        "payments without an order": "unpaid",
+    }.items()) + f"], recursive := true) from ({_COUNTS}) counted",
     "modifier_frequency": """
 select i.item_name, m.name modifier_name, count(*) times_chosen, cast(sum(m.price_cents) as bigint) modifier_cents,
        sum(i.quantity) quantity
@@ -432,8 +434,5 @@ select reason, count(*) as lines from (
   where k % 97 = 0 or k % 89 = 0) x group by reason""",
 }
 
-# The inputs never overlap the outcomes of the same day; the contract query relies on it.
-assert not set(INPUTS) & set(SAME_DAY_OUTCOMES)
-
 PARTS.update(oracle_models.PARTS)
 SQL: dict[str, str] = {name: with_parts(text) for name, text in (RAW | oracle_models.RAW).items()}
