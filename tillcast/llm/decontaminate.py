@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillcast.llm.hashing import Remembered
 from tillcast.llm.rows import one_per_id, split_words, table
 from tillcast.session import materialize
 
@@ -33,16 +34,15 @@ def _term(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-class _Wanted(dict):
-    """Word -> term hash where the bit map has it, else None; remembers words until there are too many."""
+class _Wanted(Remembered):
+    """Word -> term hash where the bit map has it, else None."""
 
     def __init__(self, bits: bytes):
         super().__init__()
         self.bits = bits
 
     def __missing__(self, word: bytes) -> int | None:
-        if len(self) > 500_000:
-            self.clear()
+        self.make_room(word)
         term = _term(word)
         at = term % MAP_BITS
         value = self[word] = term if self.bits[at >> 3] >> (at & 7) & 1 else None

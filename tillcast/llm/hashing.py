@@ -8,12 +8,27 @@ import xxhash
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; remembers words until there are too many."""
+# Bytes that a task's memory of words may take, about, and what a word costs beside its own bytes.
+REMEMBERED, ENTRY = 12_000_000, 200
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+
+class Remembered(dict):
+    """Word -> what is known of it, as long as the words fit the memory; then it starts again."""
+
+    size = 0
+
+    def make_room(self, word: bytes) -> None:
+        self.size += ENTRY + len(word)
+        if self.size > REMEMBERED:
             self.clear()
+            self.size = 0
+
+
+class WordHashes(Remembered):
+    """Word -> 64-bit hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.make_room(word)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 

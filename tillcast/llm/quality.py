@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.hashing import Remembered
 from tillcast.llm.rows import table
 
 WORDS = 4096
@@ -34,12 +35,11 @@ _KINDS[[9, 10, 11, 12, 13, 32]] = 3
 _KINDS[[ord(c) for c in ".,;:'\"-"]] = 4
 
 
-class _Buckets(dict):
-    """Word to bucket; remembers words until there are too many."""
+class _Buckets(Remembered):
+    """Word to bucket."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
+        self.make_room(word)
         bucket = self[word] = crc32(word) % WORDS
         return bucket
 
