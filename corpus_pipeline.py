@@ -44,7 +44,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a digest of what they decode to."""
     path = bpe.public_path()
     slim = docs.select("doc_id", "lang", "source", "text")
-    return bpe.decode(bpe.encode(slim, path), path).select(
+    return bpe.encode(slim, path, decoded="decoded").select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
