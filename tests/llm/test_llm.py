@@ -290,13 +290,43 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("most", [64, 1])
-def test_suffix_dedup(docs, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_FRAGMENTS", most)
-    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_strings(docs).collect()}
+@pytest.mark.parametrize(("together", "held"), [(256, 1 << 16), (1, 1), (4, 50)])
+def test_suffix_dedup(docs, monkeypatch, together, held):
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_strings(docs, together).collect()}
     assert got == removed(unique())
 
 
+@pytest.mark.parametrize(("together", "held"), [(256, 1 << 16), (3, 40)])
+def test_suffix_dedup_of_a_passage_in_a_third_of_all_documents(spark, monkeypatch, together, held):
+    """Its surroundings differ, wholly or after a few equal bytes, so that the groups at its edges are large at every level."""
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rng = np.random.default_rng(10)
+    passages = ["".join(rng.choice(list("abcdef "), n)) for n in (130, 101, 99)]
+    texts = {}
+    for i in range(300):
+        before, after = ("".join(rng.choice(list("xyz \u00e9"), rng.integers(0, 90))) for _ in range(2))
+        texts[i] = before + (passages[i % 9 // 3] + "qq"[: i % 3] if i % 3 == 0 else "") + after
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_strings(docs, together).collect()}
+    assert got == removed(texts)
+
+
+def test_halves_of_a_fragment_hold_each_string_once():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        raw = bytes(rng.choice(list(b"abc"), 700))
+        for _, _, start, end, at in zip(*suffix_dedup.fragments(raw)):
+            parts = [(0, suffix_dedup.REACH, int(start), int(at - start), raw[start:end])]
+            while parts:
+                starts = sorted(s + i for *_, s, _, p in parts for i in range(len(p) - suffix_dedup.LENGTH + 1))
+                assert starts == list(range(start, end - suffix_dedup.LENGTH + 1))
+                assert all(p == raw[s : s + len(p)] for *_, s, _, p in parts)
+                if all(lo == hi for lo, hi, *_ in parts):
+                    break
+                parts = [half[1:] for part in parts for half in suffix_dedup.narrowed(*part)]
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(2)
     for _ in range(60):
