@@ -83,10 +83,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     A rule fits its host and all subdomains where the path starts with the rule's path. The longest rule wins;
     of equally long ones the blocking one, then the one that sorts last. Pages without a fitting rule get
     ``default``. A null url, or one without ``://``, has an empty host and path. Rows that repeat page_id and
-    url are one page; other columns are ignored.
+    url are one page, different urls of a page_id are judged each; other columns are ignored.
     """
     host, path = split_url(F.col("url"))
-    slim = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    slim = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     bounds = rules.agg(
         F.max(F.size(F.split("rule_host", "\\."))).alias("labels"),
         F.max(F.length("rule_path") - F.length(F.replace("rule_path", F.lit("/")))).alias("slashes"),
@@ -97,7 +97,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rank = F.when(
         fits, F.struct(F.length("rule"), F.when(F.col("rule_verdict") == "block", 1).otherwise(0), "rule", "rule_verdict")
     )
-    best = joined.groupBy("page_id", "host", "path").agg(F.max(rank).alias("best"))
+    best = joined.groupBy("page_id", "url", "host", "path").agg(F.max(rank).alias("best"))
     return best.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
@@ -112,15 +112,15 @@ SQL = r"""
 with rule(host, path, verdict) as (values
   ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 rest as (
-  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest
-  from (select page_id, coalesce(url, '') as url from pages)),
+  select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest
+  from (select distinct page_id, url from pages)),
 part as (
-  select page_id,
+  select page_id, url,
     translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) as path from rest),
 fit as (
   select p.page_id, p.host, p.path, r.host || r.path as rule, r.verdict,
-    row_number() over (partition by page_id order by length(r.host || r.path) desc, r.verdict desc) as nth
+    row_number() over (partition by page_id, url order by length(r.host || r.path) desc, r.verdict desc) as nth
   from part p left join rule r on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path))
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit where nth = 1
 """
