@@ -63,6 +63,26 @@ def test_licenses(docs):
     assert rows[4].n_words == 0 and rows[4].first_word is None and rows[4].labels == ""
 
 
+def test_a_license_gram_said_often_is_one_place(spark):
+    """Neither one gram many times nor grams far apart make a notice; words added in two places leave it one."""
+    isc = license_scan.NOTICES[4][1]
+    words = isc.split()
+    spread = " ".join(f"{a} {b} " + " ".join(f"x{i}y{j}" for j in range(9)) for i, (a, b) in enumerate(zip(words, words[1:])))
+    added = " ".join([*words[:6], "ever", "so", *words[6:14], "as", "such", *words[14:]])
+    rows = [(1, "and or " * 12), (2, spread), (3, added), (4, isc)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4)] == ["", "", "isc", "isc"]
+    assert got[4].score == 1.0 and got[1].score < 0.1 and got[2].score < 0.3
+
+
+def test_urls_of_one_page_are_judged_each(spark):
+    rows = [(1, "http://a.net/x?q=1"), (1, "http://a.net/x?q=2"), (1, "http://a.net/x?q=2"), (2, None), (2, None), (None, "http://a.org/fr/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = [tuple(r) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()]
+    wanted = [(1, "a.net", "/x", "net/", "block")] * 2 + [(2, "", "", None, "allow"), (None, "a.org", "/fr/", "org/fr/", "allow")]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
 def test_license_span_survives_a_missing_word(spark):
     text = license_scan.NOTICES[1][1].replace("and binary ", "")
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -1,9 +1,9 @@
 """License scan by diagonal voting.
 
 Every word pair of every text is joined by its hash to the positions of the same pair in the license
-templates. A hit votes for the diagonal ``text position - template position``; votes are summed per diagonal,
-neighbouring diagonals (a word added or lost inside the passage) are merged, and a merged span counts when
-enough of the template's grams voted for it. Short phrases allow no gap and need every gram.
+templates. A hit votes for the diagonal ``text position - template position``; votes are gathered per diagonal,
+neighbouring diagonals (words added or lost inside the passage) are merged, and a merged span counts when
+enough different grams of the template voted for it. Short phrases allow no gap and need every gram.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tillcast.llm.rows import folded_words, one_per_id, table
 
 @dataclass(frozen=True)
 class Template:
+    """``slack``: words that may be added or lost inside a passage, in all. ``coverage``: share of the grams it needs."""
+
     label: str
     text: str
     base: bool = False
@@ -51,7 +53,7 @@ TEMPLATES = (
     Template("cc-by-nc", "cc by nc"),
     Template("cc-by-sa", "cc by sa"),
     Template("rights-reserved", "all rights reserved"),
-    *(Template(label, text, slack=2, coverage=0.6) for label, text in NOTICES),
+    *(Template(label, text, slack=4, coverage=0.6) for label, text in NOTICES),
 )
 
 
@@ -67,7 +69,7 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLA
 
 
 def diagonal_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Votes per (doc_id, n_words, template, diagonal). A document without a hit keeps a row without template.
+    """Voting template places per (doc_id, n_words, template, diagonal). A document without a hit keeps a row without template.
 
     The templates are a constant of this module or of the caller, so broadcasting them is bounded; no text is
     shuffled, and all votes of a document are summed in the task that read it.
@@ -84,28 +86,29 @@ def diagonal_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     return hits.groupBy(
         "doc_id", "n_words", template, "label", "base", "slack", "coverage", "n_grams",
         (F.col("pos") - F.col("at")).alias("diagonal"),
-    ).agg(F.count(template).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    ).agg(F.collect_set(F.when(same, F.col("at"))).alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Merged spans per (doc_id, template): start and last gram, coverage and whether it is verified.
+    """Merged spans per (doc_id, template, diagonal): start and last gram, share of the template and whether it is verified.
 
-    Diagonals of one template at most ``slack`` apart belong to one span. A span is verified when its votes
-    reach the template's coverage; equal grams are compared as text, so no vote rests on a hash alone.
+    The span of a diagonal takes in those up to ``slack`` above it, so it is at most that much longer than the template.
+    It is verified when the different template places that voted on it reach the coverage; a gram said twice counts once.
+    Equal grams are compared as text, so no vote rests on a hash alone.
     """
-    line = Window.partitionBy("doc_id", "n_words", "template").orderBy("diagonal")
     votes = diagonal_votes(docs, templates)
-    apart = F.col("diagonal") - F.lag("diagonal").over(line) > F.col("slack")
-    spans = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
-        "span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    merged = spans.groupBy("doc_id", "n_words", "template", "label", "base", "coverage", "n_grams", "span").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("start"), F.max("last").alias("last")
-    )
-    share = F.when(F.col("template").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-    return merged.withColumn("share", share).withColumn(
-        "verified", F.col("template").isNotNull() & (F.col("share") >= F.col("coverage"))
-    )
+    line = Window.partitionBy("doc_id", "n_words", "template").orderBy("diagonal")
+    places, last = F.col("places"), F.col("last")
+    for slack in sorted({t.slack for t in templates} - {0}):
+        near, mine = line.rangeBetween(0, slack), F.col("slack") == slack
+        places = F.when(mine, F.array_distinct(F.flatten(F.collect_list("places").over(near)))).otherwise(places)
+        last = F.when(mine, F.max("last").over(near)).otherwise(last)
+    start = F.min("first").over(line.rangeBetween(0, max(t.slack for t in templates)))
+    share = F.when(F.col("template").isNull(), 0.0).otherwise(F.size(places) / F.col("n_grams"))
+    return votes.select(
+        "doc_id", "n_words", "template", "label", "base", "coverage", "n_grams",
+        F.when(F.col("slack") > 0, start).otherwise(F.col("first")).alias("start"), last.alias("last"), share.alias("share"),
+    ).withColumn("verified", F.col("template").isNotNull() & (F.col("share") >= F.col("coverage")))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -151,17 +154,12 @@ tg as (
 dg as (
   select doc_id, i as pos, w[i + 1] || ' ' || w[i + 2] as gram
   from doc, unnest(range(greatest(len(w) - 1, 0))) as u(i)),
-vote as (
-  select doc_id, id, any_value(label) as label, any_value(base) as base, any_value(slack) as slack,
-    any_value(coverage) as coverage, any_value(n_grams) as n_grams, pos - ofs as d, count(*) as votes, min(pos) as first
-  from dg join tg using (gram) group by doc_id, id, pos - ofs),
-fresh as (
-  select *, case when d - lag(d) over (partition by doc_id, id order by d) <= slack then 0 else 1 end as new from vote),
-span as (select *, sum(new) over (partition by doc_id, id order by d) as span from fresh),
+vote as (select doc_id, tg.*, pos, pos - ofs as d from dg join tg using (gram)),
 merged as (
-  select doc_id, id, any_value(label) as label, any_value(base) as base, any_value(coverage) as coverage,
-    least(1.0::double, sum(votes)::double / any_value(n_grams)) as share, min(first) as start
-  from span group by doc_id, id, span)
+  select doc_id, any_value(b.label) as label, any_value(b.base) as base, any_value(b.coverage) as coverage,
+    count(distinct b.ofs)::double / any_value(b.n_grams) as share, min(b.pos) as start
+  from (select distinct doc_id, id, d from vote) a join vote b using (doc_id, id)
+  where b.d between a.d and a.d + b.slack group by doc_id, id, a.d)
 select doc_id, len(w)::bigint as n_words, count(*) filter (base and share >= coverage) as n_base,
   (min(start) filter (base and share >= coverage))::bigint as first_word,
   (max(start) filter (base and share >= coverage))::bigint as last_word,
