@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -199,7 +200,7 @@ def test_close_fingerprints_are_complete(spark):
     near = [b ^ sum(1 << int(x) for x in rng.choice(128, rng.integers(0, 6), replace=False)) for b in base for _ in range(5)]
     prints = sorted({f"{x:032x}" for x in base + near})
     df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
-    got = {(r["query"], r.fingerprint) for r in fingerprint.close_fingerprints(df, df).collect()}
+    got = {(r["query"], r.fingerprint) for r in fingerprint.close_fingerprints(df, df, 3).collect()}
     assert got == {(a, b) for a in prints for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
 
 
@@ -297,6 +298,16 @@ def test_merges_go_lowest_rank_first_and_leftmost():
     assert got == {i: plain(r) for i, r in enumerate(rows)}
 
 
+def test_line_dedup_sql_has_a_row_for_a_null_text(spark, tmp_path):
+    rows = [(i, None if i % 10 == 0 else "menu\n\nown line %d" % i, "a") for i in range(40)] + [(40, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(line_dedup.SQL).fetchall()
+    got = [tuple(r) for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()]
+    assert len(got) == 41 and sorted(got) == sorted(wanted)
+
+
 def removed(texts):
     seen, out = set(), {}
     for i in sorted(texts, key=lambda x: (x is None, x or 0)):

@@ -194,11 +194,11 @@ def _joined(a: str, b: str) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(c), BITS // 8, "0") for c in (a, b)]))
 
 
-def close_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+def close_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(query, fingerprint) of all distinct fingerprints of ``prints`` within ``radius`` of those of ``queries``.
 
     Both have a column fingerprint; equal ones are one entry, so groups of copies stay small. All prints are
-    filed, none is capped. The default radius is that of all but equal texts; near copies need RADIUS.
+    filed, none is capped. The default radius is that of near copies, see RADIUS.
     """
     return _close(prints, queries, radius).select(_joined("q0", "q1").alias("query"), _joined("p0", "p1").alias("fingerprint"))
 

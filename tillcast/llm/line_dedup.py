@@ -109,8 +109,9 @@ busy as (
 judged as (
   select line.doc_id, line.l, line.i, busy.l is not null as out
   from line left join busy on line.l = busy.l and line.source is not distinct from busy.source)
-select doc_id, count(*) as n_lines, count(*) filter (out) as n_dropped,
-  length(coalesce(string_agg(l, chr(10) order by i) filter (not out), '')) as n_chars_kept,
+select d.doc_id, count(l) as n_lines, count(*) filter (out) as n_dropped,
+  case when count(l) > 0 then length(coalesce(string_agg(l, chr(10) order by i) filter (not out), '')) end as n_chars_kept,
   sha256(coalesce(string_agg(l, chr(10) order by i) filter (not out), '')) as kept_sha256
-from judged group by doc_id
+from (select distinct doc_id from documents) d left join judged on d.doc_id is not distinct from judged.doc_id
+group by d.doc_id
 """
