@@ -169,3 +169,23 @@ def test_months_are_literals_in_the_scan(spark, tmp_path):
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "d2026-02-01" in plan and "d2026-03-31" in plan
     assert {r.k for r in part.collect()} == {k for k, d in data if d.month in (2, 3)}
+
+
+def test_the_keys_of_a_batch_are_not_broadcast(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "k string, x int, business_date date"
+    plans = []
+
+    def seen(module, name):
+        stored = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **more: (plans.append(a), stored(*a, **more))[1])
+
+    seen(tables, "write_parts")
+    seen(buckets, "replace_buckets")
+    for x in (1, 2):
+        rows = [(str(i), x, date(2026, 1, 1 + i % 3)) for i in range(20)]
+        merge_parts(spark, path, spark.createDataFrame(rows, schema), ["k"])
+    written = [next(v for v in a if hasattr(v, "schema")) for a in plans]
+    assert len(written) == 4
+    for df in written:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.x for r in read_parts(spark, path, ["k"]).collect()} == {2}

@@ -54,6 +54,14 @@ def bucket_of(keys: list[str], count: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
 
 
+def keys_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of a batch as one side of a join that is sorted, never gathered by the driver.
+
+    Spark takes the keys of a stored batch for their share of its compressed bytes, and would broadcast millions.
+    """
+    return rows.select(*keys).hint("merge")
+
+
 @dataclass(frozen=True)
 class State:
     """The newest manifest: its version, the number of buckets (None: no table yet), and bucket -> version of its rows."""
@@ -147,7 +155,7 @@ def merge_buckets(
     stored = read_buckets(spark, path, touched, now)
     rows = newest
     if stored is not None:
-        kept = stored.join(newest.select(*keys), keys, "left_anti").withColumn(BUCKET, bucket_of(keys, count))
+        kept = stored.join(keys_of(newest, keys), keys, "left_anti").withColumn(BUCKET, bucket_of(keys, count))
         rows = kept.unionByName(newest, allowMissingColumns=True).select(*newest.columns)
     replace_buckets(spark, path, rows, touched, count, now)
     return touched

@@ -20,6 +20,7 @@ from tillcast.sources.buckets import (
     bucket_of,
     file_system,
     folders,
+    keys_of,
     merge_buckets,
     read_buckets,
     read_if_present,
@@ -167,13 +168,13 @@ def merge_parts(
     if stored is not None:
         located = _located(spark, path, stored, newest, keys)
         if located is not None:
-            moved = located.join(newest.select(*keys), keys, "left_semi").select(PART_KEY)
+            moved = located.join(keys_of(newest, keys), keys, "left_semi").select(PART_KEY)
             parts = parts.unionByName(moved)
     touched = materialize(parts.distinct(), "merge-parts")
     if stored is None:
         rows = newest
     else:
-        kept = of_parts(stored, touched).join(newest.select(*keys), keys, "left_anti")
+        kept = of_parts(stored, touched).join(keys_of(newest, keys), keys, "left_anti")
         rows = kept.unionByName(newest, allowMissingColumns=True).select(*newest.columns)
     if remember:
         touched.write.mode("append").parquet(f"{path}/{TOUCHED}")
