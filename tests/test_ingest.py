@@ -10,6 +10,7 @@ from tillcast.functions.trading_day import business_day, location_zones
 from tillcast.operators import ingest
 from tillcast.schemas import BY_ENTITY, ENTITIES
 from tillcast.sources.landing import events_csv, land, parse_lines, read_landed, school_csv
+from tillcast.sources.sample import SampleShop
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +164,24 @@ def test_reference_csv(spark, tmp_path):
     school = tmp_path / "school.csv"
     school.write_text("label,start_date,end_date,notes\nsummer,2026-06-19,2026-08-31,\nbad,x,y,\n")
     assert [r.label for r in school_csv(spark, str(school)).collect()] == ["summer"]
+
+
+def test_latest_by_key_carries_named_versions_once(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", None, "z"), ("a", 2, "w")], "k string, v int, x string")
+    newest = ingest.latest_by_key(rows, ["k"], ["v"])
+    assert newest.columns == ["k", "v", "x"]
+    assert {(r.k, r.v, r.x) for r in newest.collect()} == {("a", 3, "y"), ("b", None, "z")}
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("v, v#") == 1 and "max_by" not in plan
+
+
+def test_lines_are_shuffled_as_given(spark):
+    """Of a line, key and version columns cross the shuffle; names, modifiers and stamps are made behind it."""
+    shop = SampleShop(spark, "/root/testdata/sf0.001")
+    plan = shop.order_item_records._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1]
+    assert "Extra spicy" not in plan and "timestampadd" not in plan and plan.count("l_extendedprice") < 5
+    versions = shop.line_versions
+    order = [F.col(f"v_{c}") for c in shop.LINE_VERSION]
+    slow = ingest.latest_by_key(versions, ["order_id", "line_item_uid"], order)
+    fast = shop.latest_lines(shop.raw("lineitem"))
+    assert fast.dtypes == slow.dtypes and sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
