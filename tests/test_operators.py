@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.quantiles import exact_quantiles
 from tillcast.functions.ranks import with_rows_before
-from tillcast.operators import dims, features, forecast, normalize, reads, splits, validate
+from tillcast.operators import dims, features, forecast, normalize, reads, rollups, splits, validate
 from tillcast.operators import summary as summaries
 from tillcast.schemas import CATALOG_PAYLOAD, ORDER_PAYLOAD, SHIFT_PAYLOAD
 
@@ -377,3 +377,17 @@ def test_a_category_listed_twice_keeps_each_item_once(spark):
     )
     rows = normalize.normalize_catalog(payload.select("p.*")).collect()
     assert [(r.catalog_object_id, r.category_name) for r in rows] == [("i", "new")]
+
+
+def test_daily_sales_groups_customers_apart_from_the_sums(spark):
+    day = date(2026, 1, 1)
+    rows = [(day, place, who, "COMPLETED", 100) for place in ("L1", None) for who in ("a", "a", "b", None)]
+    rows += [(day, "L2", None, "COMPLETED", 5), (day, "L1", "c", "CANCELED", 1), (None, "L1", "d", "COMPLETED", 1)]
+    cents = ["revenue_cents", "net_sales_cents", "discount_cents", "tax_cents", "tip_cents", "service_charge_cents"]
+    orders = spark.createDataFrame(rows, "business_date date, location_id string, customer_id string, state string, cents bigint")
+    orders = orders.select("*", *[F.col("cents").alias(c) for c in cents], F.lit(1.0).alias("item_quantity"),
+                           F.lit(None).cast("string").alias("fulfillment_type"))
+    daily = rollups.daily_sales(orders)
+    got = {(r.location_id, r.order_count, r.revenue_cents, r.known_customer_count) for r in daily.collect()}
+    assert got == {("L1", 4, 400, 2), (None, 4, 400, 2), ("L2", 1, 5, 0)} and daily.columns[-1] == "known_customer_count"
+    assert "distinct" not in daily._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -147,7 +147,7 @@ def merge_buckets(
     """
     now = state(spark, path)
     count = now.count or count
-    newest = latest_by_key(batch, keys, [F.col(c) for c in order] or [F.lit(1)]).drop(*order)
+    newest = latest_by_key(batch, keys, list(order) or [F.lit(1)]).drop(*order)
     newest = materialize(newest.withColumn(BUCKET, bucket_of(keys, count)), "bucket-batch")
     touched = sorted(r[0] for r in newest.select(BUCKET).distinct().collect())  # at most ``count`` numbers
     if not touched:

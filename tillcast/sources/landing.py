@@ -19,6 +19,7 @@ RUN = r"^([^/]+\.jsonl)"
 FILE_ORDER = ("_file", "_block", "_line")
 QUARANTINE = "_quarantine"
 UNREADABLE, KEYLESS = "unreadable", "no key"
+FILE_ROWS = 500_000
 
 
 def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,8 @@ def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[D
 
 
 def judge_lines(lines: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Every line that is not blank with its record, ``_text`` and ``_reason``: why it is not loaded, null if it is.
+    """Every line that is not blank with its record, ``_reason``: why it is not loaded, null if it is, and ``_text``: the
+    line, of those that are not loaded.
 
     A line is unreadable when it is no JSON of the declared types, and without a key when a field of the key is null.
     """
@@ -47,10 +49,11 @@ def judge_lines(lines: DataFrame, spec: EntitySpec) -> DataFrame:
         "value", f"{spec.landing}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     extra = [c for c in lines.columns if c != "value"]
-    parsed = lines.where(F.trim("value") != "").select(F.col("value").alias("_text"), *extra, F.inline(F.array(record)))
+    parsed = lines.where(F.trim("value") != "").select(F.col("value").alias("__line"), *extra, F.inline(F.array(record)))
     keyless = F.greatest(*[F.col(k).isNull().cast("int") for k in spec.keys], F.lit(0)) == 1
     reason = F.when(F.col(CORRUPT).isNotNull(), UNREADABLE).when(keyless, KEYLESS)
-    return parsed.withColumn("_reason", reason).drop(CORRUPT)
+    judged = parsed.withColumn("_reason", reason).withColumn("_text", F.when(F.col("_reason").isNotNull(), F.col("__line")))
+    return judged.drop(CORRUPT, "__line")
 
 
 def store_rejected(judged: DataFrame, out_dir: str, entity: str) -> None:
@@ -127,15 +130,18 @@ def land(records: DataFrame, raw_dir: str, entity: str, run_id: str, watermark_f
     """Append one run's records as JSON lines and return {"rows", "watermark"}; writes nothing for no
     records. Row count and watermark are observed while writing, not by a second pass.
 
-    A run owns its folder, so a repeated run replaces its own files and nothing else.
+    A run owns its folder, so a repeated run replaces its own files and nothing else. Its files are compressed, and as
+    such are read by one task each, so their length is bounded.
     """
     if records.isEmpty():
         return {"rows": 0, "watermark": None}
     seen = Observation(f"land-{entity}-{run_id}")
     newest = F.max(watermark_field) if watermark_field else F.max(F.lit(None).cast("string"))
     observed = records.observe(seen, F.count(F.lit(1)).alias("rows"), newest.alias("watermark"))
-    observed.write.mode("overwrite").option("ignoreNullFields", "false").json(
-        f"{raw_dir}/{entity}/{entity}-{run_id}.jsonl"
+    (
+        observed.write.mode("overwrite").option("ignoreNullFields", "false")
+        .option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS)
+        .json(f"{raw_dir}/{entity}/{entity}-{run_id}.jsonl")
     )
     return {"rows": seen.get["rows"], "watermark": seen.get["watermark"]}
 

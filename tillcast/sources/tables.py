@@ -110,19 +110,22 @@ def write_parts(rows: DataFrame, path: str, parts: DataFrame, located: DataFrame
 
 
 def replay_pending(spark: SparkSession, path: str) -> None:
-    """Put completed pending partitions in their place and enter their keys; repeating it changes nothing.
+    """Move completed pending partitions to their place and enter their keys; repeating it changes nothing.
+
+    They are moved as folders, not written again: one that is no longer pending is in its place.
 
     The index follows the table: a key whose old place is still listed is only looked for once more, while a key
     listed too early would be left in its old place.
     """
     files, mark = file_system(spark, f"{path}/{PENDING}/_SUCCESS")
     if files.exists(mark):
-        pending = read_if_present(spark, f"{path}/{PENDING}")
-        if pending is not None:
-            (
-                pending.hint("rebalance", PART_KEY).write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic").partitionBy(PART_KEY).parquet(path)
-            )
+        for name in folders(spark, f"{path}/{PENDING}"):
+            if name.startswith(f"{PART_KEY}="):
+                _, done = file_system(spark, f"{path}/{PENDING}/{name}")
+                _, place = file_system(spark, f"{path}/{name}")
+                files.delete(place, True)
+                if not files.rename(done, place):
+                    raise RuntimeError(f"{name} of {path} could not be moved to its place")
         located = read_if_present(spark, f"{path}/{PENDING_KEYS}")
         if located is not None:
             merge_buckets(spark, f"{path}/{INDEX}", located, [c for c in located.columns if c != PART_KEY])

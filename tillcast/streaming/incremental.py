@@ -54,7 +54,7 @@ def merge_rows(
 ) -> DataFrame | None:
     """Upsert the good ones of judged lines; see ``merge_landed``."""
     keyed = judged.where("_reason is null").drop("_reason", "_text")
-    order = [F.col(c) for c in FILE_ORDER]
+    order = list(FILE_ORDER)
     if not spec.is_fact:
         rows = typed_rows(keyed, spec, zones, cutoff_hour)
         merge_dimension(spark, f"{out_dir}/{spec.table}", rows, list(spec.keys), list(FILE_ORDER))
