@@ -401,3 +401,15 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     cut = pipeline.materialize(stages["lines"](spark, docs, ""), "test-copies")
     got = {r.doc_id: r.text for r in stages["near_duplicates"](spark, cut, "").collect()}
     assert got == {0: passage} | {i: t.removeprefix("menu home\n") for i, t in rows if i >= 20}
+
+
+def test_decontamination_asks_a_dict_of_the_benchmarks_words(spark, docs, monkeypatch):
+    """Words of documents are hashed only for a benchmark of more words than the tasks are given; the result is one."""
+    items = spark.createDataFrame([(1, BASE[:200]), (2, "one"), (3, BASE[50:300])], "item_id long, text string")
+    terms = decontaminate.item_terms(items.withColumnRenamed("item_id", "doc_id"))
+    known = decontaminate._lookup(terms)()
+    assert known(b"no-such-word") is None and known(b"one") == decontaminate._term(b"one")
+    by_dict = sorted(map(str, decontaminate.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 0)
+    assert isinstance(decontaminate._lookup(terms)().__self__, decontaminate._Wanted)
+    assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == by_dict

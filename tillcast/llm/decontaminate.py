@@ -9,7 +9,7 @@ exact phrase matches; windows with a few words exchanged are proximity matches.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ NEAR = 8
 # Terms that are no benchmark term are left out of the index early by a bit map of fixed size; it may let others
 # through, which the join then drops.
 MAP_BITS = 1 << 22
+# Up to so many words the tasks get the benchmark's words themselves and ask a dict; a larger benchmark goes by the bit map.
+VOCABULARY = 200_000
 ROWS = 256
 
 
@@ -57,31 +59,42 @@ def _bit_map(terms: DataFrame) -> bytes:
     return bytes(bits)
 
 
+def _lookup(terms: DataFrame) -> Callable[[], Callable[[bytes], int | None]]:
+    """What a task calls for its function from a word to its term, None for words that are not in ``terms`` (word, term)."""
+    spark = terms.sparkSession
+    words = terms.select("word", "term").distinct().limit(VOCABULARY + 1).collect()
+    if len(words) <= VOCABULARY:
+        known = spark.sparkContext.broadcast({bytes(r.word): r.term for r in words})
+        return lambda: known.value.get
+    bits = spark.sparkContext.broadcast(_bit_map(terms))
+    return lambda: _Wanted(bits.value).__getitem__
+
+
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, n, pos, term) for every word of every benchmark item."""
+    """(item_id, n, pos, word, term) for every word of every benchmark item."""
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (i, len(words), pos, _term(w))
+                (i, len(words), pos, w, _term(w))
                 for i, words in zip(b["doc_id"], map(split_words, b["text"]))
                 for pos, w in enumerate(words)
             ]
-            yield pd.DataFrame(rows, columns=["item_id", "n", "pos", "term"])
+            yield pd.DataFrame(rows, columns=["item_id", "n", "pos", "word", "term"])
 
-    return items.mapInPandas(placed, "item_id long, n int, pos int, term long")
+    return items.mapInPandas(placed, "item_id long, n int, pos int, word binary, term long")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of ``terms`` occurs in ``docs``; counted per task, then summed."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
+    """(term, n): how often each of ``terms`` (word, term) occurs in ``docs``; counted per task, then summed."""
+    lookup = _lookup(terms)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Wanted(bits.value)
+        known = lookup()
         for b in batches:
             found: Counter = Counter()
             for text in b["text"]:
-                found.update(map(known.__getitem__, split_words(text)))
+                found.update(map(known, split_words(text)))
             found.pop(None, None)
             yield pd.DataFrame({"term": list(found), "n": list(found.values())}, dtype="int64")
 
@@ -90,7 +103,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(placed: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, item_id, pos, needed): the places of the rarest terms of every window of every item.
+    """(word, term, item_id, pos, needed): the places of the rarest terms of every window of every item.
 
     A window is WINDOW words, or the whole of a shorter item. ``needed`` is how many of its places a match must
     hit, one only for items of a single word.
@@ -102,23 +115,23 @@ def anchors(placed: DataFrame, counts: DataFrame) -> DataFrame:
         .withColumn("start", windows)
         .withColumn("nth", F.row_number().over(rank))
         .where(F.col("nth") <= RAREST)
-        .select("term", "item_id", "pos", F.least(F.col("n"), F.lit(RAREST)).alias("needed"))
+        .select("word", "term", "item_id", "pos", F.least(F.col("n"), F.lit(RAREST)).alias("needed"))
         .distinct()
     )
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, positions): the positional index of ``docs`` for the terms in the bit map of ``terms``."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
+    """(term, doc_id, positions): the positional index of ``docs`` for ``terms`` (word, term); by the bit map a few more."""
+    lookup = _lookup(terms)
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Wanted(bits.value)
+        known = lookup()
         for whole in batches:
             for at in range(0, len(whole), ROWS):
                 b, rows = whole.iloc[at : at + ROWS], []
                 for doc_id, text in zip(b["doc_id"].tolist(), b["text"]):
                     places: dict[int, list[int]] = {}
-                    for pos, term in enumerate(map(known.__getitem__, split_words(text))):
+                    for pos, term in enumerate(map(known, split_words(text))):
                         if term is not None:
                             places.setdefault(term, []).append(pos)
                     rows += [(term, None if doc_id != doc_id else doc_id, found) for term, found in places.items()]
@@ -129,7 +142,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, item_id, shift) where the shifted postings of a window's rarest terms meet."""
-    met = postings(docs, places.select("term").distinct()).join(places, "term")
+    met = postings(docs, places.select("word", "term").distinct()).join(places.drop("word"), "term")
     hits = met.select("doc_id", "item_id", "needed", F.explode(F.transform("positions", lambda p: p - F.col("pos"))).alias("shift"))
     return hits.groupBy("doc_id", "item_id", "needed", "shift").agg(F.count("*").alias("n")).where("n >= needed").drop("n", "needed")
 
