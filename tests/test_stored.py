@@ -213,3 +213,9 @@ def test_landed_files_are_compressed_and_only_rejected_lines_keep_their_text(spa
     assert all(p.name.endswith(".json.gz") for p in (tmp_path / "orders" / "orders-r1.jsonl").glob("part-*"))
     judged = landing.judge_lines(landing.raw_lines(spark, str(tmp_path), "orders"), spec).collect()
     assert sorted((r.order_id or "", r._text or "") for r in judged) == [("", "{broken"), ("0", ""), ("1", ""), ("2", "")]
+
+
+def test_what_is_stored_is_small(spark, tmp_path):
+    merge_parts(spark, str(tmp_path / "t"), spark.createDataFrame([("a", 1, DAY0)], "k string, x int, business_date date"), ["k"])
+    names = [p.name for p in (tmp_path / "t").rglob("part-*.parquet") if "_manifest" not in str(p)]
+    assert names and all(name.endswith(".zstd.parquet") for name in names)

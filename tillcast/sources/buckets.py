@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.operators.ingest import latest_by_key
-from tillcast.session import materialize
+from tillcast.session import STORED_AS, materialize
 
 BUCKET = "__bucket"
 COUNT = 64
@@ -113,7 +113,7 @@ def replace_buckets(
     now = at or state(spark, path)
     version = now.version + 1
     target = f"{path}/{DATA}/version={version}"
-    rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+    rows.hint("rebalance", BUCKET).write.mode("overwrite").option("compression", STORED_AS).partitionBy(BUCKET).parquet(target)
     filled = {int(name.split("=")[1]) for name in folders(spark, target) if name.startswith(f"{BUCKET}=")}
     kept = {b: v for b, v in now.buckets.items() if b not in set(touched)} | {b: version for b in filled}
     entries = [(b, v, count) for b, v in sorted(kept.items())] or [(None, None, count)]

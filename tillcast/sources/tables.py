@@ -13,7 +13,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.session import materialize
+from tillcast.session import STORED_AS, materialize
 from tillcast.sources.buckets import (
     BUCKET,
     COUNT,
@@ -97,12 +97,13 @@ def write_parts(rows: DataFrame, path: str, parts: DataFrame, located: DataFrame
     # leaves them to be put in place by the next one, with the places of their keys.
     remove(spark, f"{path}/{PENDING_KEYS}")
     if located is not None:
-        located.write.parquet(f"{path}/{PENDING_KEYS}")
+        located.write.option("compression", STORED_AS).parquet(f"{path}/{PENDING_KEYS}")
     (
         rows.unionByName(markers)
         .hint("rebalance", PART_KEY)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
+        .option("compression", STORED_AS)
         .partitionBy(PART_KEY)
         .parquet(f"{path}/{PENDING}")
     )

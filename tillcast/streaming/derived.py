@@ -67,12 +67,14 @@ def refresh_first_seen(spark: SparkSession, out_dir: str, touched: DataFrame, la
     stored = read_parts(spark, f"{out_dir}/{VISITS}", ["customer_id"])
     keys = ["customer_id", "business_date"]
     before = now.where("false") if stored is None else of_parts(stored, touched).select(*keys)
-    added = now.join(before, keys, "left_anti").withColumn("added", F.lit(True))
-    gone = before.join(now, keys, "left_anti").withColumn("added", F.lit(False))
-    day = F.col("business_date")
-    changes = added.unionByName(gone).groupBy("customer_id").agg(
-        F.collect_set(F.when(F.col("added"), day)).alias("added"), F.collect_set(F.when(~F.col("added"), day)).alias("gone")
-    )
+    day, new = F.col("business_date"), F.col("new")
+    both = now.select(*keys, F.lit(True).alias("new")).unionByName(before.select(*keys, F.lit(False).alias("new")))
+    # One shuffle of both sides: a customer's days are gathered in any case.
+    changes = both.groupBy("customer_id").agg(
+        F.collect_set(F.when(new, day)).alias("now"), F.collect_set(F.when(~new, day)).alias("then")
+    ).select(
+        "customer_id", F.array_except("now", "then").alias("added"), F.array_except("then", "now").alias("gone")
+    ).where((F.size("added") > 0) | (F.size("gone") > 0))
     at = f"{out_dir}/{CUSTOMER_DAYS}"
     kept = state(spark, at)
     count = kept.count or COUNT
@@ -84,13 +86,13 @@ def refresh_first_seen(spark: SparkSession, out_dir: str, touched: DataFrame, la
             lists = changes.select("customer_id", F.col("added").alias("days")).where("false")
         none = F.array().cast("array<date>")
         joined = lists.join(changes, "customer_id", "full").select(
-            "customer_id", F.coalesce("days", none).alias("before"),
+            "customer_id", F.get("days", 0).alias("was"),
             F.array_sort(F.array_union(
                 F.array_except(F.coalesce("days", none), F.coalesce("gone", none)), F.coalesce("added", none)
             )).alias("days"),
         )
         joined = materialize(joined, "customer-days")
-        was, is_now = F.get("before", 0), F.get("days", 0)
+        was, is_now = F.col("was"), F.get("days", 0)
         moved = joined.where(~was.eqNullSafe(is_now)).select(F.explode(F.array(was, is_now)).alias("business_date"))
         moved.where("business_date is not null").distinct().write.mode("append").parquet(f"{out_dir}/{MOVED}")
         rows = joined.where(F.size("days") > 0).select("customer_id", "days", bucket_of(["customer_id"], count).alias(BUCKET))
