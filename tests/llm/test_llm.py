@@ -413,3 +413,17 @@ def test_decontamination_asks_a_dict_of_the_benchmarks_words(spark, docs, monkey
     monkeypatch.setattr(decontaminate, "VOCABULARY", 0)
     assert isinstance(decontaminate._lookup(terms)().__self__, decontaminate._Wanted)
     assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == by_dict
+
+
+def test_pivots_bring_their_size_into_the_buckets(spark, docs, monkeypatch):
+    stored = {}
+
+    def kept(df, purpose):
+        stored[purpose] = df.localCheckpoint()
+        return stored[purpose]
+
+    monkeypatch.setattr(near_dedup, "materialize", kept)
+    near_dedup.near_duplicates(docs).count()
+    sizes = {r.doc_id: r.n for r in stored["representatives"].collect()}
+    buckets = stored["buckets"].collect()
+    assert buckets and all(sizes[r.pivot] == r.pivot_n and sizes[r.rep] == r.n for r in buckets)

@@ -185,14 +185,18 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
         "representatives",
     )
     banded = lead.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    members = materialize(banded.join(shared.select("band", "pivot"), "band"), "buckets")
-    sizes = lead.select("doc_id", "n")
+    # The pivot comes with the size of its set, so that its pairs need no join to be judged by size.
+    first_of = F.min(F.struct("rep", "n")).alias("first")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), first_of).where("size > 1")
+    pivots = shared.select("band", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pivot_n"))
+    members = materialize(banded.join(pivots, "band"), "buckets")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(own.join(involved, "doc_id", "left_semi"), "texts")
 
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    star = _right_size(star.distinct().join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a"))
+    star = members.where("rep <> pivot").select(
+        F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")
+    )
+    star = _right_size(star).distinct()
     star_links = materialize(verified(likely(star, lead), texts, width), "star-links")
     first = components(star_links).select(F.col("node").alias("rep"), "component")
 
