@@ -427,3 +427,31 @@ def test_pivots_bring_their_size_into_the_buckets(spark, docs, monkeypatch):
     sizes = {r.doc_id: r.n for r in stored["representatives"].collect()}
     buckets = stored["buckets"].collect()
     assert buckets and all(sizes[r.pivot] == r.pivot_n and sizes[r.rep] == r.n for r in buckets)
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_size(spark, monkeypatch):
+    """Most of them are alike to about the threshold; the smallest id is not the one nearest to the others."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for doc_id in range(300):
+        words = [f"w{i}" for i in range(150)]
+        for at in np.flatnonzero(rng.random(150) < rng.uniform(0.01, 0.025)):
+            words[at] = f"z{rng.integers(10**6)}"
+        texts.append((doc_id, " ".join(words)))
+    compared, real = [], near_dedup.likely
+
+    def counted(pairs, sigs):
+        compared.append(pairs.count())
+        return real(pairs, sigs)
+
+    monkeypatch.setattr(near_dedup, "likely", counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 5).collect()}
+    sets = {i: near_dedup.shingles(t, 5) for i, t in texts}
+    want = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(want[a] != want[b] for a, b in links):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and 1 < len(set(want.values())) < 300
+    assert len(compared) == 2 and compared[1] < 300
