@@ -185,3 +185,22 @@ def test_lines_are_shuffled_as_given(spark):
     slow = ingest.latest_by_key(versions, ["order_id", "line_item_uid"], order)
     fast = shop.latest_lines(shop.raw("lineitem"))
     assert fast.dtypes == slow.dtypes and sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+
+
+def test_items_sold_are_the_summary_s_columns_of_the_latest_lines(spark, tmp_path):
+    rows = [  # order, line, shipped, part: versions that differ in the date, in the part only, and not at all
+        (1, 1, "1998-01-01", 5), (1, 1, "1998-03-01", 2), (1, 1, "1998-03-01", 70), (1, 1, "1998-02-01", 99),
+        (1, 2, None, 7), (1, 2, "1998-01-05", None), (2, 1, None, 3), (2, 1, None, 4), (3, 1, "1998-01-01", 9), (3, 1, "1998-01-01", 9),
+    ]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, d string, l_partkey long").selectExpr(
+        "l_orderkey", "l_linenumber", "cast(d as timestamp) as l_shipdate", "l_partkey", "l_partkey as l_suppkey",
+        "10.0D as l_quantity", "2.0D as l_extendedprice", "0.0D as l_discount", "0.0D as l_tax", "'A' as l_returnflag",
+        "'F' as l_linestatus",
+    )
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/region.parquet").write.parquet(f"{tmp_path}/region.parquet")
+    shop = SampleShop(spark, str(tmp_path))
+    want = shop.order_items.select("business_date", "location_id", "item_name")
+    got = shop.summary_tables["order_items"]
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "l_extendedprice" not in got._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
