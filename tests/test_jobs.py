@@ -7,11 +7,11 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tillcast.functions.trading_day import location_zones
+from tillcast.functions.trading_day import business_day, location_zones
 from tillcast.operators import models, splits
 from tillcast.operators.features import feature_columns
 from tillcast.operators.rollups import daily_sales
-from tillcast.plans import queries
+from tillcast.plans import daily_batch, queries
 from tillcast.plans.daily_batch import ledger, load_all, load_dataset, load_tables, run_daily
 from tillcast.plans.oracle import SQL
 from tillcast.plans.queries import REGISTRY
@@ -204,3 +204,13 @@ def test_uncertainty_query_makes_the_default_refits(spark, monkeypatch):
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(REGISTRY)
     assert set(REGISTRY) - set(SQL) == {"model_predictions", "forecast_uncertainty", "explain_forecast"}
+
+
+def test_zones_that_never_landed_move_no_orders(spark):
+    """Without stored locations the default zone applies to every order where it lies."""
+    zones = location_zones(daily_batch.empty_table(spark, BY_ENTITY["locations"]))
+    rows = spark.range(5000).selectExpr("cast(id % 5 as string) as location_id", "timestamp'2026-04-02 07:30:00' as created_at")
+    dated = business_day(rows, zones)
+    plan = dated._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [tuple(r) for r in dated.select("business_date", "business_hour").distinct().collect()] == [(date(2026, 4, 1), 3)]

@@ -74,7 +74,9 @@ def empty_table(spark: SparkSession, spec: EntitySpec) -> DataFrame:
             return "timestamp"
         return "int" if kinds[name] == "boolean" else kinds[name]
 
-    return spark.createDataFrame([], ", ".join(f"`{c}` {kind(c)}" for c in spec.columns))
+    # The filter tells the planner that there are no rows. It would take a table of unknown size for a large one and sort all
+    # orders by their few locations to look up zones that are not there.
+    return spark.createDataFrame([], ", ".join(f"`{c}` {kind(c)}" for c in spec.columns)).where(F.lit(False))
 
 
 def read_child(spark: SparkSession, out_dir: str, spec: EntitySpec) -> DataFrame | None:
